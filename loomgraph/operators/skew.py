@@ -82,21 +82,57 @@ def _split_table(df: DataFrame, plan: LoadPlan) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, "_h long, _first long, _shards long"))
 
 
-def _to_tasks(df: DataFrame, plan: LoadPlan) -> DataFrame:
-    """``df``, with its columns ``_h``, ``_first`` and ``_shard``, partitioned by task."""
+def _with_task(df: DataFrame, plan: LoadPlan) -> DataFrame:
+    """``df``, with its columns ``_h``, ``_first`` and ``_shard``, and the task of its unit; ``_first`` is dropped."""
     tasks = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(plan.task_of)), "_unit long, _task int"))
     unit = F.coalesce(F.col("_first") + F.col("_shard"), F.pmod("_h", F.lit(plan.buckets)))
-    return df.withColumn("_unit", unit).join(tasks, "_unit").drop("_unit", "_first").repartitionById(plan.tasks, "_task")
+    return df.withColumn("_unit", unit).join(tasks, "_unit").drop("_unit", "_first")
+
+
+def dealt(df: DataFrame, keys: list[str], by: list[str], plan: LoadPlan) -> DataFrame:
+    """``df`` with ``_h``, ``_shard``, ``_task`` and ``_split``: rows of a split key are dealt over its shards by a hash of ``by``."""
+    at = df.withColumn("_h", key_hash(keys)).join(_split_table(df, plan), "_h", "left")
+    shard = F.coalesce(F.pmod(F.xxhash64(*by, F.lit(7)), "_shards"), F.lit(0))
+    return _with_task(at.withColumn("_shard", shard).withColumn("_split", F.col("_shards").isNotNull()).drop("_shards"), plan)
+
+
+def replicated(df: DataFrame, keys: list[str], plan: LoadPlan) -> DataFrame:
+    """``df`` with ``_h``, ``_shard``, ``_task`` and ``_split``: rows of a split key once for each of its shards."""
+    at = df.withColumn("_h", key_hash(keys)).join(_split_table(df, plan), "_h", "left")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_shards"), F.lit(1)) - 1))
+    return _with_task(at.withColumn("_shard", copies).withColumn("_split", F.col("_shards").isNotNull()).drop("_shards"), plan)
 
 
 def spread(df: DataFrame, keys: list[str], by: list[str], plan: LoadPlan) -> DataFrame:
-    """``df`` with columns ``_h``, ``_shard`` and ``_task``, each row in the partition of its task.
+    """``dealt``, each row in the partition of its task.
 
     Rows equal in ``keys`` and ``by`` come into the same shard, so counts of distinct ``by`` add up over shards.
     """
-    at = df.withColumn("_h", key_hash(keys)).join(_split_table(df, plan), "_h", "left")
-    shard = F.coalesce(F.pmod(F.xxhash64(*by, F.lit(7)), "_shards"), F.lit(0))
-    return _to_tasks(at.withColumn("_shard", shard).drop("_shards"), plan)
+    return dealt(df, keys, by, plan).drop("_split").repartitionById(plan.tasks, "_task")
+
+
+def self_join_shards(df: DataFrame, keys: list[str], by: list[str], tasks: int | None = None) -> DataFrame:
+    """``df`` arranged for joining rows of equal ``keys`` with each other inside partitions, whatever the skew.
+
+    Adds ``_h`` (a hash of the keys), ``_shard``, ``asks`` and ``answers``: a pair of rows is found where one asks and
+    the other answers in the same (``_h``, ``_shard``). Rows of unsplit keys do both, once; of a split key, rows ask
+    in one shard and answer in all. Partitions are sorted by ``_h`` and ``_shard``. Null keys are left out.
+    """
+    some = df.dropna(subset=keys)
+    plan = plan_load(some, keys, tasks)
+    asking = dealt(some, keys, by, plan).withColumn("asks", F.lit(True)).withColumn("answers", ~F.col("_split"))
+    if plan.split:
+        heavy = replicated(some, keys, plan).filter("_split").withColumn("asks", F.lit(False)).withColumn("answers", F.lit(True))
+        asking = asking.unionByName(heavy)
+    return asking.drop("_split").repartitionById(plan.tasks, "_task").drop("_task").sortWithinPartitions("_h", "_shard")
+
+
+def join_shards(asking: DataFrame, answering: DataFrame, keys: list[str], by: list[str], tasks: int | None = None) -> DataFrame:
+    """Two tables of the same columns arranged as by ``self_join_shards``: rows of one ask, rows of the other answer."""
+    a, b = asking.dropna(subset=keys), answering.dropna(subset=keys)
+    plan = plan_load(a, keys, tasks)
+    both = dealt(a, keys, by, plan).withColumn("asks", F.lit(True)).unionByName(replicated(b, keys, plan).withColumn("asks", F.lit(False)))
+    return both.drop("_split").repartitionById(plan.tasks, "_task").drop("_task").sortWithinPartitions("_h", "_shard", "asks")
 
 
 def balanced_distinct(df: DataFrame, keys: list[str], value: str, aggs: dict[str, tuple[Column, Column]], name: str, plan: LoadPlan) -> DataFrame:
@@ -138,8 +174,6 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, keys: list[str],
     """
     l, r = left.dropna(subset=keys), right.dropna(subset=keys)
     plan = plan_load(l, keys, tasks)
-    dealt = spread(l, keys, [c for c in l.columns if c not in keys] or keys, plan)
-    at = r.withColumn("_h", key_hash(keys)).join(_split_table(r, plan), "_h", "left")
-    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_shards"), F.lit(1)) - 1))
-    replicated = _to_tasks(at.withColumn("_shard", copies).drop("_shards"), plan)
-    return dealt.drop("_h").join(replicated.drop("_h"), ["_task", "_shard", *keys]).drop("_task", "_shard")
+    ours = spread(l, keys, [c for c in l.columns if c not in keys] or keys, plan).drop("_h")
+    theirs = replicated(r, keys, plan).drop("_h", "_split").repartitionById(plan.tasks, "_task")
+    return ours.join(theirs, ["_task", "_shard", *keys]).drop("_task", "_shard")
