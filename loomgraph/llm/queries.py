@@ -5,14 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import knn
+from loomgraph.llm import knn, leakage, neardup
+from loomgraph.operators.components import components
 from loomgraph.runtime import table
 
 
+def _chunk_duplicates(spark: SparkSession, d: str) -> neardup.NearDuplicates:
+    return neardup.NearDuplicates(table(spark, d, "chunks"), "id", "content", words=3, least=0.7, least_words=20)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _chunk_duplicates(spark, d).id_pairs()
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """(id, group): the chunks that have a near-duplicate, with the smallest id of those they are connected with."""
+    return components(_chunk_duplicates(spark, d).id_pairs())
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return knn.neighbour_pairs(knn.nearest(table(spark, d, "chunks"), "id", "embedding"))
 
 
-QUERIES = {"p4_found": p4_found}
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    """The text of each test item that may leak: its passage, of suite closed_book its question."""
+    return table(spark, d, "eval_items").select("item_id", F.when(F.col("suite") == "closed_book", F.col("question")).otherwise(F.col("passage")).alias("passage"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), _items(spark, d))
+
+
+def p8_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Longest verbatim match and its place for each document and item that leaks."""
+    return leakage.verbatim_matches(table(spark, d, "documents"), _items(spark, d)).filter("leaks").select("doc_id", "item_id", "longest", "at_word")
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that hold no test item."""
+    return leakage.without_leaks(table(spark, d, "documents"), _items(spark, d)).select("doc_id")
+
+
+QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p8_found": p8_found, "p8_matches": p8_matches, "p8_clean": p8_clean, "p4_found": p4_found}
 
 ORACLES: dict[str, str] = {}
