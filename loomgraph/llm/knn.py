@@ -17,24 +17,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.runtime import broadcast_if_small, cut
 
-#: Vectors that a cell is planned to hold; more anchors than ``MOST_ANCHORS`` are not fitted, cells then grow.
-CELL = 500
-MOST_ANCHORS = 8192
-#: The anchors are fitted on at most so many vectors, chosen by a hash of the id.
-MOST_SAMPLE = 65_536
-#: A vector asks in at most ``PROBES`` cells, those whose anchor's cosine is less than ``MARGIN`` below the best.
-PROBES, MARGIN = 6, 0.15
+#: Vectors that an anchor is planned for. More than ``MOST_ANCHORS`` are not fitted; cells then grow.
+PER_ANCHOR, MOST_ANCHORS = 32, 65_536
+#: Anchors are fitted on so many vectors each, chosen by a hash of the id: at most 262,144 vectors, or 64 MB.
+SAMPLED = 4
+#: Anchors nearer to each other than this share a cell, as long as it is planned for at most ``DENSE`` vectors.
+ALIKE, DENSE = 0.8, 8192
+#: Coarse anchors whose fine ones are looked at, and cells that a vector asks in: those with an anchor whose cosine
+#: is less than ``MARGIN`` below the best.
+COARSE, PROBES, MARGIN = 6, 5, 0.15
 #: A cell planned to hold more vectors is a square of units, each with so many vectors and so many queries.
 BLOCK = 20_000
 PROJECTIONS, THRESHOLD = 16, 10
 #: Half the width of the first windows, in standard deviations of a projection, and how windows grow.
-FIRST_WIDTH, GROWTH = 0.3, 1.6
+FIRST_WIDTH, GROWTH = 0.5, 1.6
+#: Windows this wide hold most of a cell; queries not yet done then verify all of it, by a matrix product.
+WHOLE = 1.0
 #: Windows of half-width w find a vector at distance w / SURE with near certainty (each projection with probability 0.87).
 SURE = 1.5
 
@@ -61,10 +66,10 @@ def _nearest_anchor(x: np.ndarray, anchors: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(x[i : i + 4096] @ anchors.T, axis=1) for i in range(0, len(x), 4096)])
 
 
-def fit_anchors(sample: np.ndarray, anchors: int, rounds: int = 4) -> np.ndarray:
+def fit_anchors(sample: np.ndarray, anchors: int, rounds: int = 5) -> np.ndarray:
     """Unit centroids of unit vectors by a few rounds of k-means under cosine; the first ``anchors`` rows start them."""
     at = sample[:anchors].copy()
-    for _ in range(rounds):
+    for _ in range(rounds if len(sample) > anchors else 0):
         nearest = _nearest_anchor(sample, at)
         order = np.argsort(nearest, kind="stable")
         found, start = np.unique(nearest[order], return_index=True)
@@ -74,6 +79,63 @@ def fit_anchors(sample: np.ndarray, anchors: int, rounds: int = 4) -> np.ndarray
     return at
 
 
+class Cells:
+    """Two levels of anchors and the cells that they stand for, fitted on a sample of which each row stands for ``weight``."""
+
+    def __init__(self, sample: np.ndarray, anchors: int, weight: float):
+        self.coarse = fit_anchors(sample, max(1, min(round(anchors**0.5), len(sample))))
+        nearest = _nearest_anchor(sample, self.coarse)
+        fine, cell, load, self.bounds = [], [], [], [0]
+        for c in range(len(self.coarse)):
+            mine = sample[nearest == c]
+            if len(mine):
+                at = fit_anchors(mine, max(1, round(len(mine) * anchors / len(sample))))
+                here = np.bincount(_nearest_anchor(mine, at), minlength=len(at)) * weight
+                alike = at @ at.T
+                of = np.full(len(at), -1)
+                for i in np.argsort(-here, kind="stable"):
+                    if of[i] < 0:
+                        near = np.flatnonzero((alike[i] >= ALIKE) & (of < 0))
+                        near = near[np.argsort(-alike[i][near], kind="stable")]
+                        near = near[(np.cumsum(here[near]) <= DENSE) | (near == i)]
+                        of[near] = len(load)
+                        of[i] = len(load)
+                        load.append(here[of == len(load)].sum())
+                fine.append(at)
+                cell.append(of)
+            self.bounds.append(self.bounds[-1] + (len(fine[-1]) if len(mine) else 0))
+        self.fine, self.cell, self.load = np.concatenate(fine), np.concatenate(cell), np.array(load)
+
+    def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each vector its home cell, and ``PROBES`` columns of cells to ask in, -1 where there is none, the home first."""
+        n = len(x)
+        near = x @ self.coarse.T
+        take = min(COARSE, near.shape[1])
+        top = np.argpartition(-near, take - 1, axis=1)[:, :take]
+        anchor, sim = np.full((n, take * PROBES), -1), np.full((n, take * PROBES), -np.inf, np.float32)
+        rows, slot = np.repeat(np.arange(n), take), np.tile(np.arange(take), n)
+        order = np.argsort(top.ravel(), kind="stable")
+        found, start = np.unique(top.ravel()[order], return_index=True)
+        for c, a, z in zip(found, start, np.append(start[1:], len(order))):
+            lo, hi = self.bounds[c], self.bounds[c + 1]
+            if lo == hi:
+                continue
+            r, k = rows[order[a:z]], slot[order[a:z]]
+            s = x[r] @ self.fine[lo:hi].T
+            m = min(PROBES, hi - lo)
+            best = np.argpartition(-s, m - 1, axis=1)[:, :m]
+            columns = k[:, None] * PROBES + np.arange(m)
+            anchor[r[:, None], columns] = best + lo
+            sim[r[:, None], columns] = np.take_along_axis(s, best, axis=1)
+        order = np.argsort(-sim, axis=1, kind="stable")
+        sim, cell = np.take_along_axis(sim, order, axis=1), self.cell[np.take_along_axis(anchor, order, axis=1)]
+        wanted = sim >= sim[:, :1] - MARGIN
+        for j in range(1, cell.shape[1]):  # each cell once
+            wanted[:, j] &= ~(cell[:, :j] == cell[:, j : j + 1]).any(axis=1)
+        wanted &= np.cumsum(wanted, axis=1) <= PROBES
+        return cell[:, 0], np.where(wanted, cell, -1)
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
@@ -85,7 +147,7 @@ def _unit(x: np.ndarray, dtype: type) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(dtype)
 
 
-def _router(anchors: np.ndarray, sides: np.ndarray, dim: int):
+def _router(cells: Cells, sides: np.ndarray, dim: int):
     """Sends each vector to its cells.
 
     A cell planned to hold too much is a square of units, ``side`` by ``side``: as data a vector goes to one row of
@@ -98,13 +160,10 @@ def _router(anchors: np.ndarray, sides: np.ndarray, dim: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            sims = _unit(_matrix(b["embedding"], dim), np.float32) @ anchors.T
-            n, probes, h = len(sims), min(PROBES, sims.shape[1]), b["h"].to_numpy()
-            top = np.argpartition(-sims, probes - 1, axis=1)[:, :probes]
-            best = np.take_along_axis(sims, top, axis=1)
-            home = top[np.arange(n), np.argmax(best, axis=1)]
-            row, j = np.nonzero(best >= best.max(axis=1, keepdims=True) - MARGIN)
-            cell = top[row, j]
+            home, asked = cells.of(_unit(_matrix(b["embedding"], dim), np.float32))
+            n, h = len(home), b["h"].to_numpy()
+            row, j = np.nonzero(asked >= 0)
+            cell = asked[row, j]
             row, cell, i = _times(row, cell, sides[cell])
             side = sides[cell]
             unit = first[cell] + i * side + (h[row] // side) % side
@@ -140,21 +199,27 @@ def _collisions(x: np.ndarray, answers: np.ndarray, asks: np.ndarray, k: int, di
         return out, cos
     proj = (x @ directions).astype(np.float32)
     of = proj[data]
+    arrays = np.sort(of, axis=0)
     order = np.argsort(of, axis=0, kind="stable")
-    arrays = np.take_along_axis(of, order, axis=0)
     place = np.empty((m, of.shape[1]), np.int32)
     np.put_along_axis(place, order, np.arange(m, dtype=np.int32)[:, None], axis=0)
     place = np.ascontiguousarray(place.T).astype(np.uint16 if m < 2**16 else np.uint32)
-    sd = 1 / np.sqrt(x.shape[1])
+    single, sd = x.astype(np.float32), 1 / np.sqrt(x.shape[1])
     pending, width = np.flatnonzero(asks), FIRST_WIDTH
     while len(pending):
-        whole = width > 16
+        whole = width > WHOLE or m <= 4 * k
         rest = []
-        step = max(1, 2_000_000 // m)
+        step = max(1, 1_000_000 // m)
         for i in range(0, len(pending), step):
             q = pending[i : i + step]
             if whole:
-                qi, di = np.repeat(np.arange(len(q)), m), np.tile(np.arange(m), len(q))
+                c = single[q] @ single[data].T
+                c[q[:, None] == data[None, :]] = -2
+                take = min(m, k + 8)
+                di = np.argpartition(-c, take - 1, axis=1)[:, :take]
+                qi, di = np.repeat(np.arange(len(q)), take), di.ravel()
+                kept = c[qi, di] > -1.5
+                qi, di = qi[kept], di[kept]
             else:
                 count = np.zeros((len(q), m), np.uint8)
                 for j in range(of.shape[1]):
@@ -163,12 +228,17 @@ def _collisions(x: np.ndarray, answers: np.ndarray, asks: np.ndarray, k: int, di
                     # one unsigned comparison: a position before the window wraps round to a large number
                     count += (place[j][None, :] - lo[:, None]) < (hi - lo)[:, None]
                 qi, di = np.nonzero(count >= THRESHOLD)
-            apart = q[qi] != data[di]
-            qi, di = qi[apart], di[apart]
-            c = np.empty(len(qi))
-            for a in range(0, len(qi), 200_000):
-                s = slice(a, a + 200_000)
-                c[s] = np.einsum("ij,ij->i", x[q[qi[s]]], x[data[di[s]]])
+                apart = q[qi] != data[di]
+                qi, di = qi[apart], di[apart]
+                c = np.empty(len(qi), np.float32)
+                for a in range(0, len(qi), 100_000):
+                    s = slice(a, a + 100_000)
+                    c[s] = np.einsum("ij,ij->i", single[q[qi[s]]], single[data[di[s]]])
+                # only those near the k best in single precision are compared in double
+                by = np.lexsort((-c, qi))
+                kept = by[np.arange(len(by)) - np.searchsorted(qi[by], qi[by], "left") < k + 8]
+                qi, di = qi[kept], di[kept]
+            c = np.einsum("ij,ij->i", x[q[qi]], x[data[di]])
             by = np.lexsort((data[di], -c, qi))
             qs, cs, ds = qi[by], c[by], data[di][by]
             rank = np.arange(len(qs)) - np.searchsorted(qs, qs, "left")
@@ -194,7 +264,7 @@ def _asker(k: int, dim: int, seed: int):
         x = _unit(_matrix(t["embedding"], dim), np.float64)
         ids = t["id"].combine_chunks() if isinstance(t["id"], pa.ChunkedArray) else t["id"]
         # rows in the order of ids, so that ties go to the smaller id
-        by = np.array(sorted(range(len(ids)), key=ids.to_pylist().__getitem__))
+        by = pc.array_sort_indices(ids).to_numpy()
         ids, x = ids.take(pa.array(by)), x[by]
         answers, asks = (t[c].to_numpy(zero_copy_only=False)[by] for c in ("answers", "asks"))
         near, cos = _collisions(x, answers, asks, k, directions)
@@ -236,20 +306,20 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int =
     spark = df.sparkSession
     source = df.select(F.col(id_col).alias("name"), F.col(vector_col).cast("array<float>").alias("embedding")).filter(F.col("name").isNotNull() & usable(F.col("embedding"), dim))
     vectors = source.select(pack_id(F.col("name")).alias("id"), "embedding", F.xxhash64("embedding").alias("h"))
-    rows = df.count()
-    share = min(1.0, max(4096, 8 * min(MOST_ANCHORS, rows // CELL)) / max(1, rows), MOST_SAMPLE / max(1, rows))
-    picked = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1)).select("embedding").limit(2 * MOST_SAMPLE).toArrow()
+    rows = max(1, df.count())
+    anchors = min(MOST_ANCHORS, max(1, rows // PER_ANCHOR))
+    share = min(1.0, max(4096, SAMPLED * anchors) / rows)
+    picked = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1)).select("embedding").limit(2 * SAMPLED * MOST_ANCHORS).toArrow()
     if not picked.num_rows:
         return spark.createDataFrame([], "id string, near array<string>, cos array<double>")
     sample = _unit(_matrix(picked["embedding"], dim), np.float32)
     sample = sample[np.random.default_rng(seed).permutation(len(sample))]
-    anchors = fit_anchors(sample, max(1, min(MOST_ANCHORS, round(len(sample) / share / CELL), len(sample))))
-    load = np.bincount(_nearest_anchor(sample, anchors), minlength=len(anchors))
-    sides = np.maximum(1, np.ceil(load / share / BLOCK)).astype(np.int64)
+    cells = Cells(sample, min(anchors, len(sample)), 1 / share)
+    sides = np.maximum(1, np.ceil(cells.load / BLOCK)).astype(np.int64)
 
     copies = W.partitionBy("h", "embedding").orderBy("id")
     kept = vectors.withColumn("r", F.dense_rank().over(copies)).filter(F.col("r") <= k + 1).groupBy("h", "embedding", "id").agg(F.first("r").alias("r"))
-    routed = kept.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(2**31)).alias("h")).mapInArrow(_router(anchors, sides, dim), "cell int, answers boolean, asks boolean, id binary, embedding array<float>")
+    routed = kept.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(2**31)).alias("h")).mapInArrow(_router(cells, sides, dim), "cell int, answers boolean, asks boolean, id binary, embedding array<float>")
     asked = routed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_asker(k, dim, seed), "id binary, near array<binary>, cos array<double>")
     scored = F.transform(F.arrays_zip("near", "cos"), lambda x: F.struct((-x["cos"]).alias("d"), x["near"].alias("near")))
     merged = asked.select("id", scored.alias("s")).groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("s"))), 1, k).alias("s"))
