@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import knn, leakage, neardup
+from loomgraph.llm import knn, leakage, neardup, pii
 from loomgraph.operators.components import components
 from loomgraph.runtime import table
 
@@ -46,6 +46,18 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.without_leaks(table(spark, d, "documents"), _items(spark, d)).select("doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p8_found": p8_found, "p8_matches": p8_matches, "p8_clean": p8_clean, "p4_found": p4_found}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(table(spark, d, "documents"))
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "documents"))
+
+
+def p9_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    return pii.surrogated(table(spark, d, "documents"), b"a key that the owner of the data keeps")
+
+
+QUERIES = {"p9_found": p9_found, "p9_redacted": p9_redacted, "p9_surrogates": p9_surrogates, "p3_found": p3_found, "p3_groups": p3_groups, "p8_found": p8_found, "p8_matches": p8_matches, "p8_clean": p8_clean, "p4_found": p4_found}
 
 ORACLES: dict[str, str] = {}
