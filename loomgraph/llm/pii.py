@@ -70,7 +70,7 @@ ID_NUMBER = re.compile(
 CUED_ID = re.compile(rf"(?i:{_CUE}){_AFTER_CUE}([A-Z0-9](?:[ \u00a0\u202f\u2011\u2013-]?[A-Z0-9]){{5,20}})(?![\w-])")
 
 PHONE = re.compile(
-    rf"(?<![\w+/.-])(?:\+\d{{1,3}}(?:{_P}?\(\d{{1,5}}\))?(?:{_P}?\d{{2,5}}){{2,6}}"
+    rf"(?<![\w+/.-])(?:\+\d{{1,3}}(?:{_P}?\(\d{{1,5}}\))?(?:{_P}?\d{{1,5}}){{2,7}}"
     rf"|\(0?\d{{2,5}}\){_P}?\d{{3,4}}{_P}?\d{{3,4}}|0\d{{1,4}}/\d{{3,8}}(?:{_D}\d{{1,5}})?|0\d(?:{_P}\d{{2}}){{4}}|0\d{{3,4}}{_P}\d{{3}}{_P}?\d{{3,4}}|0\d{{2}}{_P}\d{{4}}{_P}\d{{4}})(?![\w/]|-\d|\.\d)"
     rf"|(?<![\w/.-])555{_D}\d{{4}}(?![\w-])"
 )

@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import knn, leakage, neardup, pii
+from loomgraph.llm import knn, leakage, names, neardup, pii
 from loomgraph.operators.components import components
 from loomgraph.runtime import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_pairs(names.same_entities(table(spark, d, "entities")))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """(id, group): each id of entities with the smallest id of those that name the same thing."""
+    groups = names.same_entities(table(spark, d, "entities"))
+    low = groups.groupBy("kind", "group").agg(F.min("id").alias("low"))
+    return groups.join(low, ["kind", "group"]).groupBy("id").agg(F.min("low").alias("group"))
+
+
 def _chunk_duplicates(spark: SparkSession, d: str) -> neardup.NearDuplicates:
     return neardup.NearDuplicates(table(spark, d, "chunks"), "id", "content", words=3, least=0.7, least_words=20)
 
@@ -58,6 +69,6 @@ def p9_surrogates(spark: SparkSession, d: str) -> DataFrame:
     return pii.surrogated(table(spark, d, "documents"), b"a key that the owner of the data keeps")
 
 
-QUERIES = {"p9_found": p9_found, "p9_redacted": p9_redacted, "p9_surrogates": p9_surrogates, "p3_found": p3_found, "p3_groups": p3_groups, "p8_found": p8_found, "p8_matches": p8_matches, "p8_clean": p8_clean, "p4_found": p4_found}
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p9_found": p9_found, "p9_redacted": p9_redacted, "p9_surrogates": p9_surrogates, "p3_found": p3_found, "p3_groups": p3_groups, "p8_found": p8_found, "p8_matches": p8_matches, "p8_clean": p8_clean, "p4_found": p4_found}
 
 ORACLES: dict[str, str] = {}
