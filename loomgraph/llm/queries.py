@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import knn, leakage, names, neardup, pii
+from loomgraph.llm import knn, leakage, names, neardup, packing, pii, splitting
 from loomgraph.operators.components import components
 from loomgraph.runtime import table
 
@@ -38,6 +40,27 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return knn.neighbour_pairs(knn.nearest(table(spark, d, "chunks"), "id", "embedding"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of the documents that had to be split."""
+    return splitting.split_oversized(table(spark, d, "doc_records")).select("id").distinct()
+
+
+def p5_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, d, "doc_records"))
+
+
+#: Folder of the vocabulary files of public tokenizers, the same on all executors.
+TOKENIZERS = os.environ.get("LOOMGRAPH_TOKENIZERS", "/opt/tokenizers")
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p7_containers(spark, d))
+
+
 def _items(spark: SparkSession, d: str) -> DataFrame:
     """The text of each test item that may leak: its passage, of suite closed_book its question."""
     return table(spark, d, "eval_items").select("item_id", F.when(F.col("suite") == "closed_book", F.col("question")).otherwise(F.col("passage")).alias("passage"))
@@ -69,6 +92,10 @@ def p9_surrogates(spark: SparkSession, d: str) -> DataFrame:
     return pii.surrogated(table(spark, d, "documents"), b"a key that the owner of the data keeps")
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p9_found": p9_found, "p9_redacted": p9_redacted, "p9_surrogates": p9_surrogates, "p3_found": p3_found, "p3_groups": p3_groups, "p8_found": p8_found, "p8_matches": p8_matches, "p8_clean": p8_clean, "p4_found": p4_found}
+QUERIES = {"p5_found": p5_found, "p5_chunks": p5_chunks, "p7_containers": p7_containers, "p7_fill": p7_fill, "p2_found": p2_found, "p2_groups": p2_groups, "p9_found": p9_found, "p9_redacted": p9_redacted, "p9_surrogates": p9_surrogates, "p3_found": p3_found, "p3_groups": p3_groups, "p8_found": p8_found, "p8_matches": p8_matches, "p8_clean": p8_clean, "p4_found": p4_found}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p5_found": """
+SELECT id FROM (SELECT id, content, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, created_at DESC NULLS LAST, content DESC NULLS LAST) AS r FROM doc_records WHERE id IS NOT NULL)
+WHERE r = 1 AND strlen(content) > 4000""",
+}
