@@ -34,7 +34,7 @@ def bfs(seeds: DataFrame, chunks: DataFrame, steps: DataFrame, max_hops: int) ->
     ``seeds`` has seed and id (the start chunk, which must be in ``chunks``). All seeds advance together, a join for
     each hop. ``ord`` is an array whose order is the order of discovery among chunks of one seed and distance: it holds
     the sort key of each step on the path, so no numbering of a whole level is needed. Steps to missing chunks are
-    skipped. More than three hops are cut by checkpoints.
+    skipped. Each hop but the last is written to the checkpoint folder, as the next one reads it twice.
     """
     there = chunks.select(F.col("id").alias("dst"))
     steps = steps.join(there, "dst", "left_semi")
@@ -45,7 +45,7 @@ def bfs(seeds: DataFrame, chunks: DataFrame, steps: DataFrame, max_hops: int) ->
         reach = front.join(steps, front["id"] == steps["src"]).select("seed", "dst", F.concat("path", F.array("dst")).alias("path"), F.concat("ord", F.array("k")).alias("ord"))
         new = reach.join(seen.select("seed", F.col("id").alias("dst")), ["seed", "dst"], "left_anti")
         front = new.groupBy("seed", "dst").agg(F.min_by("path", "ord").alias("path"), F.min("ord").alias("ord")).select("seed", F.col("dst").alias("id"), F.lit(hop).alias("distance"), "path", "ord")
-        if hop > 3:
+        if hop < max_hops:
             front = cut(front)
         seen = seen.unionAll(front)
     return seen
