@@ -18,6 +18,7 @@ import hmac
 import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -98,52 +99,91 @@ NAMES = [
 ]
 # a person in a place where texts present one, also with a given name that isn't known
 PRESENTED = [
-    re.compile(rf"(?m)^'''({_CAP}{_MIDDLE}{_S}{_FAMILY})'''\s\((?:born|b\.|né|née|nacido|nacida|geboren|\*)"),
-    re.compile(rf"\bI am ({_CAP}{_MIDDLE}{_S}{_FAMILY}), (?=.{{3,40}}\d)"),
-    re.compile(rf"~~~~|--\s?({_CAP}{_MIDDLE}{_S}{_FAMILY})\s*$", re.M),
-    re.compile(rf"\b(?:the editor|écrire à|write to) ({_CAP}{_MIDDLE}{_S}{_FAMILY})(?= can be reached|,|\s\()"),
+    ("'''", re.compile(rf"^'''({_CAP}{_MIDDLE}{_S}{_FAMILY})'''\s\((?:born|b\.|né|née|nacido|nacida|geboren|\*)")),
+    ("I am ", re.compile(rf"\bI am ({_CAP}{_MIDDLE}{_S}{_FAMILY}), (?=.{{3,40}}\d)")),
+    ("--", re.compile(rf"--\s?({_CAP}{_MIDDLE}{_S}{_FAMILY})\s*$")),
+    ("the editor ", re.compile(rf"\bthe editor ({_CAP}{_MIDDLE}{_S}{_FAMILY})(?= can be reached|,|\s\()")),
+    ("écrire à ", re.compile(rf"\bécrire à ({_CAP}{_MIDDLE}{_S}{_FAMILY})(?=,|\s\()")),
+    ("write to ", re.compile(rf"\bwrite to ({_CAP}{_MIDDLE}{_S}{_FAMILY})(?=,|\s\()")),
 ]
 _AFTER_THING = re.compile(rf"['’]{{0,5}}(?:{_S}{_CAP})?{_S}(?i:{'|'.join(THINGS)})(?!\w)")
 _BEFORE_SHIP = re.compile(rf"(?:\b(?:{'|'.join(SHIPS)})|\b(?i:ship|vessel|ferry|yacht|steamer))[ \u00a0]['\"]{{0,5}}$")
 _TITLES = frozenset("Dr Mr Mrs Ms Prof Rev Hon Sir St Herr Frau Monsieur Madame Box See No Vol Category File Image".split())
 
 
-def find(text: str | None) -> list[tuple[int, int, str]]:
-    """(begin, end, type) of what is found, in order and without overlaps; nothing in a null or empty text."""
-    if not text:
-        return []
+_AT_SIGN = re.compile(r"[@＠]|[\[({]at[\])}]|\sAT\s|\sat\s[\w-]+\s(?:dot|DOT)\s")
+_CUE_SIGN = re.compile(r"(?i)pass[pe]|pass$|ssn|social|ni num|national i|cu[ r0-9]|licen|permis|ausweis|identity|card|nummer|personal n|tax|\b(?:id|dni)\b[\s.:#-]")
+_CALL_SIGN = re.compile(r"(?i)tel|phone|call|fax|mobil|téléph|handy")
+_STREETS = tuple("Box Postfach postale Apartado Street St. Road Rd Avenue Ave Lane Ln Drive Close Court Terrace Way Place Row Crescent Gardens Hill straße strasse str. gasse weg platz allee ufer damm rue avenue boulevard place chemin impasse allée quai Calle Avenida Plaza Paseo Camino".split())
+_WORDS = re.compile(r"[^\W\d_]+")
+_INITIAL_SIGN = re.compile(rf"(?<![\w'’.]){_INITIAL}")
+
+
+@lru_cache(maxsize=100_000)
+def _in_line(line: str) -> tuple[tuple[int, int, str], ...]:
+    """What is found in one line. Revisions of a text share most lines, so that results are kept for a while."""
     spans: list[tuple[int, int, str]] = []
 
     def add(a: int, z: int, kind: str) -> None:
         if not any(a < e and b < z for b, e, _ in spans):
             spans.append((a, z, kind))
 
-    digits = any(c.isdigit() for c in text)
-    for m in EMAIL.finditer(text):
-        add(*m.span(), "EMAIL")
-    if digits:
-        for m in ID_NUMBER.finditer(text):
+    # each pattern is tried only where something that it needs is there
+    if _AT_SIGN.search(line):
+        for m in EMAIL.finditer(line):
+            add(*m.span(), "EMAIL")
+    if any(c in line for c in "0123456789"):
+        for m in ID_NUMBER.finditer(line):
             add(*m.span(), "ID_NUMBER")
-        for m in CUED_ID.finditer(text):
-            if sum(c.isdigit() for c in m[1]) >= 4:
-                add(*m.span(1), "ID_NUMBER")
-        for m in ADDRESS.finditer(text):
-            add(*m.span(), "ADDRESS")
-        for m in PHONE.finditer(text):
+        if _CUE_SIGN.search(line):
+            for m in CUED_ID.finditer(line):
+                if sum(c.isdigit() for c in m[1]) >= 4:
+                    add(*m.span(1), "ID_NUMBER")
+        if any(k in line for k in _STREETS):
+            for m in ADDRESS.finditer(line):
+                add(*m.span(), "ADDRESS")
+        for m in PHONE.finditer(line):
             if 7 <= sum(c.isdigit() for c in m[0]) <= 15:
                 add(*m.span(), "PHONE")
-        for m in CUED_PHONE.finditer(text):
-            if 7 <= sum(c.isdigit() for c in m[1]) <= 15:
-                add(*m.span(1), "PHONE")
-    for pattern in NAMES:
-        for m in pattern.finditer(text):
-            if _a_person(text, *m.span()):
-                add(*m.span(), "NAME")
-    for pattern in PRESENTED:
-        for m in pattern.finditer(text):
-            if m[1]:
-                add(*m.span(1), "NAME")
-    return sorted(spans)
+        if _CALL_SIGN.search(line):
+            for m in CUED_PHONE.finditer(line):
+                if 7 <= sum(c.isdigit() for c in m[1]) <= 15:
+                    add(*m.span(1), "PHONE")
+    near = [m.span() for m in _WORDS.finditer(line) if m[0].casefold() in _GIVEN_SET]
+    near += [m.span() for m in _INITIAL_SIGN.finditer(line)]
+    for pattern in NAMES if near else ():
+        for a, z in _windows(sorted(near), len(line), 120):
+            for m in pattern.finditer(line, a, z):
+                if _a_person(line, *m.span()):
+                    add(*m.span(), "NAME")
+    for sign, pattern in PRESENTED:
+        if sign in line:
+            for m in pattern.finditer(line):
+                if m[1]:
+                    add(*m.span(1), "NAME")
+    return tuple(sorted(spans))
+
+
+def _windows(at: list[tuple[int, int]], n: int, reach: int) -> list[tuple[int, int]]:
+    """Ranges around the given ones, those that meet merged."""
+    out: list[tuple[int, int]] = []
+    for a, z in at:
+        a, z = max(0, a - reach), min(n, z + reach)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
+def find(text: str | None) -> list[tuple[int, int, str]]:
+    """(begin, end, type) of what is found, in order and without overlaps; nothing in a null or empty text. Nothing spans lines."""
+    out: list[tuple[int, int, str]] = []
+    at = 0
+    for line in (text or "").split("\n"):
+        out += [(at + a, at + z, kind) for a, z, kind in _in_line(line)]
+        at += len(line) + 1
+    return out
 
 
 def _a_person(text: str, a: int, z: int) -> bool:
