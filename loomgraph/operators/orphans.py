@@ -19,7 +19,7 @@ BROADCAST_ROWS = 200_000
 
 
 def parents(chunks: DataFrame, entities: DataFrame, deletions: DataFrame) -> DataFrame:
-    """(kind, key, first_at): the records that stand, with their oldest created_at.
+    """(kind, key, first_at, stands): the records that stand, with their oldest created_at.
 
     A record counts as deleted if it is logged under its kind with deleted_at after the newest created_at of its
     rows. A record whose rows all lack created_at is never deleted or late by comparison with null.
@@ -33,7 +33,7 @@ def parents(chunks: DataFrame, entities: DataFrame, deletions: DataFrame) -> Dat
         .agg(F.max("deleted_at").alias("deleted_at"))
     )
     kept = there.join(gone, ["kind", "key"], "left").filter(~F.coalesce(F.col("deleted_at") > F.col("last_at"), F.lit(False)))
-    return kept.select("kind", "key", "first_at")
+    return kept.select("kind", "key", "first_at", F.lit(True).alias("stands"))
 
 
 def references(edges: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def orphans(edges: DataFrame, chunks: DataFrame, entities: DataFrame, deletions:
     known = parents(chunks, entities, deletions)
     # one join tells keys without a standing parent from keys whose parent is younger than some reference
     missing = keys.join(known, ["kind", "key"], "left")
-    bad = cut(missing.filter(F.col("first_at").isNull() | (F.col("earliest") < F.col("first_at"))).select("kind", "key", "first_at"))
+    bad = cut(missing.filter(F.col("stands").isNull() | (F.col("earliest") < F.col("first_at"))).select("kind", "key", "first_at", "stands"))
     found = refs.join(broadcast_if_small(bad, BROADCAST_ROWS), ["kind", "key"])
-    late = F.col("first_at").isNull() | (F.col("created_at") < F.col("first_at"))
+    late = F.col("stands").isNull() | (F.col("created_at") < F.col("first_at"))
     return found.filter(late).select("edge_id", "created_at", "ref_column")
