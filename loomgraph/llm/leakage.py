@@ -26,6 +26,7 @@ LEAST, SEED, SHARE = 20, 4, 5
 #: Words of test items handled in one pass over the documents, and of documents in one suffix array.
 BLOCK_WORDS, SHARD_WORDS = 1_000_000, 500_000
 _BAND = LEAST // SHARE
+_NEVER = 10_000
 
 
 def _keys(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -100,7 +101,10 @@ def _promising(codes: np.ndarray, tests: Tests, p: np.ndarray, t: np.ndarray) ->
 
 
 def _aligned(codes: np.ndarray, tests: Tests, p: int, t: int, start: int) -> bool:
-    """Whether some window of ``LEAST`` item words or more, begun near ``start``, aligns with at most a fifth of edits."""
+    """Whether some window of ``LEAST`` item words or more, begun near ``start``, aligns with at most a fifth of edits.
+
+    Its first and last words are in the text, so that words beyond a shorter quotation don't count as dropped from it.
+    """
     doc = codes[max(0, p - (t - start) - LEAST - 8) : p - (t - start) + 3 * LEAST + 8]
     owner = tests.owner[start]
     starts = np.arange(start - _BAND, start + _BAND + 1)
@@ -111,13 +115,18 @@ def _aligned(codes: np.ndarray, tests: Tests, p: int, t: int, start: int) -> boo
     for k in range(2 * LEAST):
         w = tests.codes[np.minimum(starts + k, len(tests.codes) - 1)]
         alive = tests.owner[np.minimum(starts + k, len(tests.codes) - 1)] == owner
-        new = np.empty_like(d)
-        new[:, 0] = d[:, 0] + 1
-        new[:, 1:] = np.minimum(d[:, :-1] + ((doc[None, :] != w[:, None]) | (w[:, None] == 0)), d[:, 1:] + 1)
-        d = np.minimum.accumulate(new - ramp, axis=1) + ramp
-        d[~alive] = 10_000
-        if k + 1 >= LEAST and (d.min(axis=1) * SHARE <= k + 1).any():
+        same = (doc[None, :] == w[:, None]) & (w[:, None] > 0) & alive[:, None]
+        if k + 1 >= LEAST and (np.where(same, d[:, :-1], _NEVER).min(axis=1) * SHARE <= k + 1).any():
             return True
+        new = np.full_like(d, _NEVER)
+        if k:
+            new[:, 0] = d[:, 0] + 1
+            new[:, 1:] = np.minimum(d[:, :-1] + ~same, d[:, 1:] + 1)
+            new = np.minimum.accumulate(new - ramp, axis=1) + ramp
+        else:
+            new[:, 1:][same] = 0
+        d = new
+        d[~alive] = _NEVER
     return False
 
 
