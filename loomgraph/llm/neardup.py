@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from loomgraph.operators.skew import self_join_shards
 from loomgraph.runtime import broadcast_if_small, cut
 
-#: At similarity 0.7 a pair shares no band with probability (1 - 0.343) ** 12 = 0.0065, at 0.8 with 0.0003.
-BANDS, DEPTH = 12, 3
+#: At similarity 0.7 a pair shares no band with probability (1 - 0.343) ** 20 = 0.0002, at 0.8 with less than a millionth.
+BANDS, DEPTH = 20, 3
 #: At similarity 0.7, 19.2 of the bits differ, with a standard deviation of 4; of unrelated texts, 64.
-BITS, RADIUS = 128, 33
+BITS, RADIUS = 128, 36
 FAN = 8
 #: All pairs of a class of copies are given if it has at most so many ids, else those of its first id with the others.
 EXPANDED = 20
@@ -170,7 +170,7 @@ def _joiner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group = np.cumsum(((pdf["_h"].diff() != 0) | (pdf["_shard"].diff() != 0)).to_numpy())
         prints = np.frombuffer(b"".join(pdf["print"]), ">u8").astype(np.uint64).reshape(-1, 2)
         q, a = hamming_join(group, prints, pdf["asks"].to_numpy(bool), pdf["answers"].to_numpy(bool), RADIUS)
-        c = pdf["class"].to_numpy()
+        c = pdf["c"].to_numpy()
         x, y = c[q], c[a]
         swap = x > y
         x, y = np.where(swap, y, x), np.where(swap, x, y)
@@ -228,10 +228,11 @@ class NearDuplicates:
         classes = cut(first)
         many = classes.filter("n > 1").select("class", "name", "n")
         self.members = signed.select("id", "class").join(broadcast_if_small(many, 50_000), "class").select(F.col("name").alias("class"), "id", "n")
-        rows = classes.select("class", "print", F.posexplode("keys").alias("band", "key"))
-        shards = self_join_shards(rows.select("class", "print", F.xxhash64("band", "key").alias("key")), ["key"], ["class"])
-        met = shards.select("_h", "_shard", "asks", "answers", "class", "print").mapInPandas(_joiner, "a binary, b binary").distinct()
-        names = classes.select("class", "name")
+        # classes travel under a hash of eight bytes; should two share one, both are compared, as texts are what decides
+        rows = classes.select(F.xxhash64("class").alias("c"), "print", F.posexplode("keys").alias("band", "key"))
+        shards = self_join_shards(rows.select("c", "print", F.xxhash64("band", "key").alias("key")), ["key"], ["c"])
+        met = shards.select("_h", "_shard", "asks", "answers", "c", "print").mapInPandas(_joiner, "a long, b long").distinct()
+        names = classes.select(F.xxhash64("class").alias("class"), "name")
         met = met.join(names.select(F.col("class").alias("a"), F.col("name").alias("na")), "a").join(names.select(F.col("class").alias("b"), F.col("name").alias("nb")), "b")
         near = met.select(F.col("na").alias("a"), F.col("nb").alias("b"))
         text = texts.groupBy("id").agg(F.min_by("text", F.md5("text")).alias("text"))

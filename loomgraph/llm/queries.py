@@ -95,6 +95,16 @@ def p9_surrogates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {"p5_found": p5_found, "p5_chunks": p5_chunks, "p7_containers": p7_containers, "p7_fill": p7_fill, "p2_found": p2_found, "p2_groups": p2_groups, "p9_found": p9_found, "p9_redacted": p9_redacted, "p9_surrogates": p9_surrogates, "p3_found": p3_found, "p3_groups": p3_groups, "p8_found": p8_found, "p8_matches": p8_matches, "p8_clean": p8_clean, "p4_found": p4_found}
 
 ORACLES: dict[str, str] = {
+    "p3_found": """
+WITH t AS (SELECT id, regexp_extract_all(lower(min(content)), '[\\p{L}\\p{N}]+') AS w FROM chunks WHERE id IS NOT NULL GROUP BY id),
+g AS (SELECT DISTINCT id, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] AS g FROM (SELECT id, w FROM t WHERE len(w) >= 20), unnest(range(1, len(w) - 1)) u(k)),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+b AS (SELECT x.id AS id_a, y.id AS id_b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2)
+SELECT id_a, id_b FROM b JOIN n p ON p.id = id_a JOIN n q ON q.id = id_b WHERE c >= 0.7 * (p.n + q.n - c) - 1e-9""",
+    "p4_found": """
+WITH v AS (SELECT id, any_value(embedding)::DOUBLE[] AS e FROM chunks WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY id),
+r AS (SELECT a.id AS x, b.id AS y, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.id) AS k FROM v a JOIN v b ON a.id <> b.id)
+SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM r WHERE k <= 5""",
     "p5_found": """
 SELECT id FROM (SELECT id, content, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, created_at DESC NULLS LAST, content DESC NULLS LAST) AS r FROM doc_records WHERE id IS NOT NULL)
 WHERE r = 1 AND strlen(content) > 4000""",
