@@ -17,6 +17,7 @@ import hashlib
 import hmac
 import random
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,13 +31,17 @@ FEMALE = """abigail abby agnes aicha aïcha alice anna anne barbara beth betty c
 dorothy dot dottie edie edith elena elisabeth elizabeth ella ellen emily emma erika eva fatima frances greta hannah heidi helen helena ida
 inge ingrid irene isabel jane jennifer jessica joan josephine josie julia karen kate katherine kathy katie laura lena linda lisa liz lizzie
 lucy łucja maggie margaret maria marie martha mary meg monica nancy nora olivia pat patricia patty peggy rachel rita ronnie rosa ruth sara
-sarah sofia sophie sue susan susannah susie teresa tricia ursula uschi vera veronica vicky victoria yola yolanda zoe zoë""".split()
+sarah sofia sophie sue susan susannah susie teresa tricia ursula uschi vera veronica vicky victoria yola yolanda zoë zoé renée chloé léa noémie hélène
+amélie céline aurélie josée andrée inés belén lucía sofía maría mónica åsa märta ayşe gül fatma leyla yuki mei olga tatiana zofia małgorzata šárka růžena
+ioana ilona jana petra eszter aoife siobhán""".split()
 MALE = """adam alan alex alexander andrew anton arthur ben benjamin benny bernard bill bob brian carl carlos charles charlie chuck
 daniel david dennis dick donald ed eddie edward eric felix frank francis fred freddie frederick fritz george greg gregory hank hans harry
 henry hugo iggy ignatius ivan jack jacob jakob james jim jimmy joe johann johannes john jose josé joseph juan jürgen karl kevin lars len
 lenny leo leon leonard louis lucas luis luke marco mark martin matt matthew max michael miguel nat nate nathan nathaniel nicolas noël noel
 oliver ollie oscar otto pablo paolo paul pedro peter philip pierre quentin rafael ralph ray richard rick rob robert roger ron samuel sasha
-simon søren stefan steven ted theo theodore thomas tim tom tony viktor victor walter wally werner will william willy zach zachary zack""".split()
+simon søren stefan steven ted theo theodore thomas tim tom tony viktor victor walter wally werner will william willy zach zachary zack rené andré françois
+jérôme rémi aurélien gaël joël raphaël loïc andrés adrián ramón joaquín martín nicolás jesús ángel björn jörg günther jürg götz håkan åke pål ömer
+mohammed ahmed ali omar yusuf hiroshi kenji wei dmitri igor nikolai łukasz paweł stanisław tomáš jiří václav ștefan mihai seán ciarán""".split()
 # Words after a name that make it the name of a thing, and before it that of a ship.
 THINGS = """prize bridge institute award medal cup trophy hall school college university library museum stadium park street road avenue
 lane square tower house foundation fund society memorial hospital airport station theatre theater church chapel scholarship lecture
@@ -48,6 +53,14 @@ _LOW = "a-zß-öø-ÿłśżźćńšžčđ"
 _CAP = rf"[{_UP}][{_LOW}'’]*[{_LOW}](?:[{_UP}][{_LOW}]+)?"
 _FAMILY = rf"{_CAP}(?:-{_CAP})*"
 _SHOUT = rf"[{_UP}]{{3,}}(?:-[{_UP}]{{3,}})*"
+
+
+def _plain(name: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c))
+
+
+FEMALE, MALE = (sorted({*names, *map(_plain, names)}) for names in (FEMALE, MALE))
+MALE = [n for n in MALE if n not in set(FEMALE)]
 _GIVEN_SET = frozenset(FEMALE + MALE)
 _GIVEN = "(?:" + "|".join(sorted({n.capitalize() for n in _GIVEN_SET}, key=lambda n: (-len(n), n))) + ")"
 _GIVEN_LOW = "(?:" + "|".join(sorted(_GIVEN_SET, key=lambda n: (-len(n), n))) + ")"
@@ -100,6 +113,11 @@ NAMES = [
 # a person in a place where texts present one, also with a given name that isn't known
 PRESENTED = [
     ("'''", re.compile(rf"^'''({_CAP}{_MIDDLE}{_S}{_FAMILY})'''\s\((?:born|b\.|né|née|nacido|nacida|geboren|\*)")),
+    ("head", re.compile(rf"\bhead\s?=\s?({_CAP}{_MIDDLE}{_S}{_FAMILY}|{_FAMILY},{_S}{_CAP}{_MIDDLE})\s*$")),
+    ("||", re.compile(rf"^\|\s?({_CAP}{_MIDDLE}{_S}{_FAMILY}|{_FAMILY},{_S}{_CAP}{_MIDDLE}) \|\| (?=[+(\d])(?!\d{{1,4}} \|\|)(?=[\d+()/. \u00a0-]{{7,}}$)")),
+    ("r", re.compile(rf"\b(?:Dr|Mr|Mrs|Prof|Herr|Hr|Monsieur|Pr)\.?{_S}({_CAP}{_MIDDLE}{_S}{_FAMILY}|{_FAMILY},{_S}{_CAP}{_MIDDLE})(?=,|\s\()")),
+    ("Frau ", re.compile(rf"\bFrau{_S}({_CAP}{_MIDDLE}{_S}{_FAMILY}|{_FAMILY},{_S}{_CAP}{_MIDDLE})(?=,|\s\()")),
+    ("Letter by ", re.compile(rf"\bLetter by ({_CAP}{_MIDDLE}{_S}{_FAMILY})(?=,)")),
     ("I am ", re.compile(rf"\bI am ({_CAP}{_MIDDLE}{_S}{_FAMILY}), (?=.{{3,40}}\d)")),
     ("--", re.compile(rf"--\s?({_CAP}{_MIDDLE}{_S}{_FAMILY})\s*$")),
     ("the editor ", re.compile(rf"\bthe editor ({_CAP}{_MIDDLE}{_S}{_FAMILY})(?= can be reached|,|\s\()")),
