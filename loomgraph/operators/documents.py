@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import contains_ilike
+from loomgraph.runtime import cut
 
 
 def insert_documents(documents: DataFrame, new: DataFrame, now: Column | None = None, rid: Column | None = None) -> DataFrame:
@@ -23,7 +24,8 @@ def insert_documents(documents: DataFrame, new: DataFrame, now: Column | None =
     if bad:
         raise ValueError("title must not be null")
     top = documents.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    ordered = new.select("title", "source", "metadata").sort("title", "source", "metadata").withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id())
+    # written out, so that both uses below see the same partitions
+    ordered = cut(new.select("title", "source", "metadata").sort("title", "source", "metadata").withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id()))
     sizes = ordered.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_k").alias("_first"))
     offsets = sizes.withColumn("_before", F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).select("_p", "_before", "_first")
     rows = ordered.join(F.broadcast(offsets), "_p").withColumn("id", F.lit(top) + 1 + F.col("_before") + F.col("_k") - F.col("_first"))

@@ -16,6 +16,7 @@ from loomgraph.operators.chunks import hierarchy
 from loomgraph.operators.entities import chunk_ids_for
 from loomgraph.operators.traverse import adjacency, bfs, neighbours
 from loomgraph.operators.vector import ranked, top_k
+from loomgraph.runtime import cut
 from loomgraph.schema import QueryConfig
 
 COLUMNS = ["id", "score", "similarity_score", "graph_distance", "retrieval_method"]
@@ -30,8 +31,9 @@ def _row(score: Column, similarity: Column, distance: Column, method: str) -> li
 
 
 def _seeds(chunks: DataFrame, query: Sequence[float], c: QueryConfig) -> DataFrame:
-    """At most top_k rows, so their ranking and broadcast are bounded."""
-    return ranked(top_k(chunks, query, c.top_k, c.similarity_threshold, c.document_rids)).select("id", "path", "similarity", "rank")
+    """At most top_k rows, so their ranking and broadcast are bounded. They are found once, as plans read them several times."""
+    found = ranked(top_k(chunks, query, c.top_k, c.similarity_threshold, c.document_rids)).select("id", "path", "similarity", "rank")
+    return chunks.sparkSession.createDataFrame(found.collect(), found.schema)
 
 
 def _scope(chunks: DataFrame, c: QueryConfig) -> DataFrame:
@@ -120,7 +122,7 @@ def entity_centric(chunks: DataFrame, edges: DataFrame, entity: str, c: QueryCon
     positive.
     """
     ids = chunk_ids_for(edges, entity)
-    direct = chunks.join(ids, "id", "left_semi").select("id", F.struct(F.col("created_at") if order is None else order, F.col("id")).alias("o"))
+    direct = cut(chunks.join(ids, "id", "left_semi").select("id", F.struct(F.col("created_at") if order is None else order, F.col("id")).alias("o")))
     out = direct.select(*_row(F.lit(1.0), F.lit(0.0), F.lit(0), "entity_centric"))
     if c.max_hops > 0:
         found = bfs(direct.select(F.col("o").alias("seed"), "id"), chunks, _steps(edges, c, time), c.max_hops).filter("distance > 0")

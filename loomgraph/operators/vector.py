@@ -44,7 +44,8 @@ def top_k_with_context(chunks: DataFrame, query: Sequence[float], k: int = 5, an
     A chunk that belongs to several seeds is taken as a match first, then with the highest similarity, then for the
     smaller seed id. Context isn't restricted to ``rids``.
     """
-    seeds = top_k(chunks, query, k, threshold, rids).select(F.col("id").alias("seed"), "similarity", "path")
+    found = top_k(chunks, query, k, threshold, rids).select(F.col("id").alias("seed"), "similarity", "path")
+    seeds = chunks.sparkSession.createDataFrame(found.collect(), found.schema)  # k rows at most, read several times
     own = seeds.select("seed", "similarity", F.col("seed").alias("id"))
     near = hierarchy(F.broadcast(seeds), chunks, ancestors, descendants, False).select("seed", "similarity", "id").unionByName(own)
     best = near.groupBy("id").agg(F.min_by(F.struct("similarity", "seed"), F.struct(F.col("id") != F.col("seed"), -F.col("similarity"), "seed")).alias("s"), F.max(F.col("id") == F.col("seed")).alias("is_match"))
