@@ -109,3 +109,15 @@ class GraphStore:
 
     def dfs_traversal(self, chunk: str, max_hops: int = 2, edge_types: Sequence[str] = (), direction: str = "out") -> DataFrame:
         return V.dfs(self._start(chunk), self.tables["chunks"], V.adjacency(self.tables["edges"], edge_types, direction), max_hops)
+
+    def neighbors(self, chunk: str, edge_types: Sequence[str] = (), direction: str = "out") -> DataFrame:
+        start = self.spark.createDataFrame([(chunk, chunk)], "seed string, id string")
+        return V.neighbours(start, self.tables["chunks"], V.adjacency(self.tables["edges"], edge_types, direction)).select("id")
+
+    def hierarchical_context(self, path: str, config: QueryConfig = QueryConfig()) -> DataFrame:
+        """(id, src): ancestors, descendants and siblings as the configuration asks, each as often as it is related."""
+        start = self.spark.createDataFrame([(path,)], "path string")
+        return C.hierarchy(start, self.tables["chunks"], config.include_ancestors, config.include_descendants, config.include_siblings).select("id", "src")
+
+    def chunks_for_entity(self, entity: str) -> DataFrame:
+        return C.with_rid(N.chunks_for_entity(self.tables["edges"], self.tables["chunks"], entity), self.tables["documents"]).orderBy("created_at", "id")

@@ -25,6 +25,8 @@ from loomgraph.runtime import parallelism
 SHARES = 4
 #: Virtual buckets of unsplit keys for each task.
 BUCKETS = 8
+#: Rows planned for a task at most: with more, there are more tasks, up to one for each bucket.
+MOST_ROWS = 5_000_000
 
 
 @dataclass(frozen=True)
@@ -57,13 +59,18 @@ def key_hash(keys: list[str]) -> Column:
 
 
 def plan_load(df: DataFrame, keys: list[str], tasks: int | None = None) -> LoadPlan:
-    """Count the rows of every key of ``df`` and assign keys and shards to tasks. An empty ``df`` gives a plan without splits."""
-    tasks = tasks or parallelism(df.sparkSession)
-    buckets = tasks * BUCKETS
+    """Count the rows of every key of ``df`` and assign keys and shards to tasks. An empty ``df`` gives a plan without splits.
+
+    Without ``tasks`` there are as many as the session's shuffle partitions, or more for very many rows.
+    """
+    least = tasks or parallelism(df.sparkSession)
+    buckets = least * BUCKETS
     by_key = df.select(key_hash(keys).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     by_bucket = by_key.groupBy(F.pmod("h", F.lit(buckets)).alias("b")).agg(F.sum("n").alias("n"), F.max("n").alias("top"))
     rows = by_bucket.collect()
-    share = max(1, ceil(sum(r["n"] for r in rows) / (tasks * SHARES)))
+    total = sum(r["n"] for r in rows)
+    tasks = tasks or min(buckets, max(least, ceil(total / MOST_ROWS)))
+    share = max(1, ceil(total / (tasks * SHARES)))
     loads = [0] * buckets
     for r in rows:
         loads[r["b"]] = r["n"]

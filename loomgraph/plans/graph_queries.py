@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.functions import paths
+from loomgraph.functions import paths, vectors
 from loomgraph.operators import chunkers, chunks, documents, edges, entities, relations, retrieve, traverse, vector
 from loomgraph.plans.fixtures import view, with_views
 from loomgraph.plans.ingest import Pipeline, process
@@ -85,6 +85,14 @@ def vec_batch_topk(s, d):
     return vector.batch_top_k(_chunks(s, d), q, 5, 0.0).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def cosine_pairs(s, d):
+    """The scalar similarity of each vector and the next."""
+    e = table(s, d, "embeddings").select("vec_id", "embedding")
+    n = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("b"), F.col("embedding").alias("next"))
+    return e.join(n, "vec_id").select(F.col("vec_id").alias("a"), "b", F.round(vectors.cosine_or_zero(F.col("embedding"), F.col("next")), 6).alias("cosine"))
+
+
 @query()
 def vec_ivfflat(s, d):
     """The approximate search over clusters (rows only: another engine has other clusters)."""
@@ -131,10 +139,23 @@ def path_functions(s, d):
     return table(s, d, "chunks").select("path", paths.nlevel(p).cast("long").alias("nlevel"), paths.parent(p).alias("parent")).distinct()
 
 
+@query("""SELECT src, id FROM (SELECT 'ancestor' AS src, id FROM fx_chunks WHERE path IN ('root', 'root.s1') UNION ALL SELECT 'descendant', id FROM fx_chunks WHERE path = 'root.s1' OR starts_with(path, 'root.s1.')
+UNION ALL SELECT 'sibling', id FROM fx_chunks WHERE starts_with(path, 'root.') AND len(string_split(path, '.')) = 2 AND path <> 'root.s1')""")
+def hierarchical_context(s, d):
+    """All three relations of one path; the path itself is among its ancestors and its descendants."""
+    start = s.createDataFrame([("root.s1",)], "path string")
+    return chunks.hierarchy(start, _chunks(s, d), True, True, True).select("src", "id")
+
+
 # --- edges
 _E = "SELECT id, edge_type, weight FROM fx_edges WHERE "
 
 
+@query(_E + "id = 'm7'")
+def edge_lookup(s, d):
+    return edges.select_edge(_edges(s, d), "m7").select("id", "edge_type", "weight")
+
+
 @query(_E + "source_chunk_id = 'c0'")
 def edges_from(s, d):
     return edges.edges_from_chunk(_edges(s, d), "c0", time=SEQ).select("id", "edge_type", "weight")
