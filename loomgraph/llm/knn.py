@@ -29,7 +29,7 @@ PER_ANCHOR, MOST_ANCHORS = 32, 65_536
 #: Anchors are fitted on so many vectors each, chosen by a hash of the id: at most 262,144 vectors, or 64 MB.
 SAMPLED = 4
 #: Anchors nearer to each other than this share a cell, as long as it is planned for at most ``DENSE`` vectors.
-ALIKE, DENSE = 0.8, 8192
+ALIKE, DENSE = 0.8, 32_768
 #: Coarse anchors whose fine ones are looked at, and cells that a vector asks in: those with an anchor whose cosine
 #: is less than ``MARGIN`` below the best.
 COARSE, PROBES, MARGIN = 6, 5, 0.15
@@ -85,7 +85,7 @@ class Cells:
     def __init__(self, sample: np.ndarray, anchors: int, weight: float):
         self.coarse = fit_anchors(sample, max(1, min(round(anchors**0.5), len(sample))))
         nearest = _nearest_anchor(sample, self.coarse)
-        fine, cell, load, self.bounds = [], [], [], [0]
+        fine, cell, load, leaders, self.bounds = [], [], [], [], [0]
         for c in range(len(self.coarse)):
             mine = sample[nearest == c]
             if len(mine):
@@ -101,10 +101,32 @@ class Cells:
                         of[near] = len(load)
                         of[i] = len(load)
                         load.append(here[of == len(load)].sum())
+                        leaders.append(at[i])
                 fine.append(at)
                 cell.append(of)
             self.bounds.append(self.bounds[-1] + (len(fine[-1]) if len(mine) else 0))
         self.fine, self.cell, self.load = np.concatenate(fine), np.concatenate(cell), np.array(load)
+        self._merge(np.array(leaders))
+
+    def _merge(self, leaders: np.ndarray) -> None:
+        """Let large cells of one dense cloud, which the coarse anchors divided, be one as far as ``DENSE`` allows."""
+        large = np.flatnonzero(self.load >= max(8 * PER_ANCHOR, self.load.sum() / 16_384))
+        large = large[np.argsort(-self.load[large], kind="stable")]
+        to, free = np.arange(len(self.load)), np.ones(len(large), bool)
+        for i, c in enumerate(large):
+            if free[i]:
+                alike = leaders[large] @ leaders[c]
+                near = np.flatnonzero(free & (alike >= ALIKE))
+                near = near[np.argsort(-alike[near], kind="stable")]
+                near = near[(np.cumsum(self.load[large[near]]) <= DENSE) | (near == i)]
+                free[near], free[i] = False, False
+                to[large[near]] = c
+        load = np.zeros(len(to))
+        np.add.at(load, to, self.load)
+        kept = np.flatnonzero(load > 0)
+        number = np.zeros(len(to), np.int64)
+        number[kept] = np.arange(len(kept))
+        self.cell, self.load = number[to[self.cell]], load[kept]
 
     def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each vector its home cell, and ``PROBES`` columns of cells to ask in, -1 where there is none, the home first."""
