@@ -225,9 +225,15 @@ def respellings(parts: DataFrame) -> DataFrame:
     found = join_shards(asking, answering, ["key"], ["part"]).select("_h", "_shard", "asks", "key", "part", "n").mapInPandas(_neighbours, "kind string, part string, other string, m long")
     best = found.groupBy("kind", "part").agg(F.max_by("other", F.struct("m", "other")).alias("to"))
     best = cut(best)
-    # a spelling may itself take another: follow one more step
-    onward = best.select("kind", F.col("part").alias("to"), F.col("to").alias("then"))
-    return best.join(onward, ["kind", "to"], "left").select("kind", "part", F.coalesce("then", "to").alias("spelling"))
+    # a spelling may itself take another: pointers (always to a more frequent or smaller part, so without circles) are
+    # followed to their end, each round twice as far
+    to_end = best
+    while True:
+        onward = to_end.select("kind", F.col("part").alias("to"), F.col("to").alias("then"))
+        after = cut(to_end.join(onward, ["kind", "to"], "left").select("kind", "part", F.coalesce("then", "to").alias("to"), F.col("then").isNotNull().alias("moved")))
+        if not after.filter("moved").take(1):
+            return after.select("kind", "part", F.col("to").alias("spelling"))
+        to_end = after.drop("moved")
 
 
 def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -70,6 +70,13 @@ def test_a_short_form_that_fits_several_stays_alone(spark):
     assert groups(spark, rows) == [[0], [1], [2], [3, 4]]
 
 
+def test_a_chain_of_spellings_is_one_name(spark):
+    names_ = ["Hiwinbunfur", "Huwinbumfur", "Huwinbunfur", "Hwinbunfur"]
+    assert groups(spark, [(n, "LOC") for n in names_]) == [[0, 1, 2, 3]]
+    chain = ["".join("b" if j < i else "a" for j in range(7)) for i in range(7)]
+    assert groups(spark, [(c, "LOC") for c in chain]) == [list(range(7))]
+
+
 def test_nulls_blanks_repeats_and_nothing(spark):
     assert groups(spark, [(None, "PER"), ("", "PER"), ("...", None), ("A B", None), ("A B", None), ("x" * 3000, "LOC")]) == [[3, 4], [5]]
     assert groups(spark, []) == []
