@@ -29,8 +29,11 @@ from loomgraph.runtime import cut
 LONG, SHORT = 8, 4
 #: A part is respelled only if at most ``RARE`` names have it, or its neighbour is ``TIMES`` as frequent.
 RARE, TIMES = 2, 12
-#: All pairs of a group of at most so many ids are given; of a larger one, those of its first id with the others.
+#: Copies are ids of exactly the same name and type. Up to so many are in all pairs of their group; of more, their first id
+#: is, and it in a pair with each of the others.
 EXPANDED = 64
+#: In the join that pairs the ids of a group, a key has so many of them on one side.
+PAIRED = 1024
 
 # Titles, small words, and what common abbreviations stand for.
 TITLES = frozenset("mr mrs ms miss dr prof professor rev reverend hon honourable sir dame lady lord st fr sr jr ii iii phd md esq".split())
@@ -275,7 +278,8 @@ def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def same_entities(entities: DataFrame) -> DataFrame:
-    """(id, kind, group): the key of the name that each id has. Ids whose name has no letters or digits are left out.
+    """(id, kind, group, spelling): the key of the name that each id has, and name and type as they are written. Ids whose
+    name has no letters or digits are left out.
 
     Kinds are compared without regard to how taggers write them; names of different kinds are never the same. An id
     delivered with several names belongs to the group of each. Null names and ids are left out, an empty table gives
@@ -301,17 +305,24 @@ def same_entities(entities: DataFrame) -> DataFrame:
     joined = wants.join(single, ["kind", "s"], "left").select("form", "kind", F.coalesce("to", "key").alias("group"))
     groups = keyed.filter("full").select("form", "kind", F.col("key").alias("group")).unionByName(joined)
     by_name = taken.select("name", "entity_type", "form").join(groups, "form").select("name", "entity_type", "kind", "group")
-    return rows.join(by_name, [rows["name"] == by_name["name"], rows["entity_type"].eqNullSafe(by_name["entity_type"])]).select("id", "kind", "group").distinct()
+    found = rows.join(by_name, [rows["name"] == by_name["name"], rows["entity_type"].eqNullSafe(by_name["entity_type"])])
+    return found.select("id", "kind", "group", F.to_json(F.struct(rows["name"], rows["entity_type"])).alias("spelling")).distinct()
 
 
 def same_pairs(groups: DataFrame) -> DataFrame:
     """(id_a, id_b): pairs of ids of one group, the smaller first.
 
-    All pairs of a group of at most ``EXPANDED`` ids; in a larger group, its smallest id with each of the others.
+    All pairs of ids of different spellings, and of up to ``EXPANDED`` copies (ids of one spelling). More copies than
+    that appear as their smallest id, and that in a pair with each of the others, so that no link is lost.
     """
-    sizes = groups.groupBy("kind", "group").agg(F.countDistinct("id").alias("n"), F.min("id").alias("low")).filter("n > 1")
-    some = groups.join(sizes, ["kind", "group"])
-    small = some.filter(F.col("n") <= EXPANDED).select("kind", "group", "id")
-    pairs = small.withColumnRenamed("id", "id_a").join(small.withColumnRenamed("id", "id_b"), ["kind", "group"]).filter("id_a < id_b").select("id_a", "id_b")
-    star = some.filter((F.col("n") > EXPANDED) & (F.col("id") != F.col("low"))).select(F.col("low").alias("id_a"), F.col("id").alias("id_b"))
+    copies = groups.groupBy("kind", "group", "spelling").agg(F.countDistinct("id").alias("n"), F.min("id").alias("low")).filter(F.col("n") > EXPANDED).drop("n")
+    marked = cut(groups.join(copies, ["kind", "group", "spelling"], "left").select("kind", "group", "id", "low"))
+    members = marked.filter("low IS NULL OR id = low").select("kind", "group", "id").distinct()
+    sizes = members.groupBy("kind", "group").agg(F.ceil(F.count("*") / PAIRED).alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    members = members.join(sizes, ["kind", "group"])
+    # the ids of a group are dealt over blocks on one side and repeated for each block on the other
+    ours = members.select("kind", "group", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.col("id").alias("id_a"))
+    theirs = members.select("kind", "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("id").alias("id_b"))
+    pairs = ours.join(theirs, ["kind", "group", "block"]).filter("id_a < id_b").select("id_a", "id_b")
+    star = marked.filter("id <> low").select(F.col("low").alias("id_a"), F.col("id").alias("id_b"))
     return pairs.unionByName(star).distinct()

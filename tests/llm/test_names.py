@@ -88,3 +88,20 @@ def test_large_group_of_copies_is_a_star(spark):
     assert p == {("000", f"{i:03}") for i in range(1, 80)}
     few = names.same_pairs(names.same_entities(df.limit(5)))
     assert few.count() == 10
+
+
+def test_only_exact_copies_of_a_large_group_are_a_star(spark, monkeypatch):
+    def pairs(rows):
+        df = spark.createDataFrame([(f"{i:03}", n, t, None, "k", 1) for i, (n, t) in enumerate(rows)], SCHEMA)
+        return [tuple(r) for r in names.same_pairs(names.same_entities(df)).collect()]
+
+    # the same name with one to seventy dots: all of them differ in spelling only
+    dots = [("Nora Lanarare" + "." * i, "PER") for i in range(1, 71)]
+    every = {(f"{i:03}", f"{j:03}") for i, j in itertools.combinations(range(70), 2)}
+    monkeypatch.setattr(names, "PAIRED", 16)
+    got = pairs(dots)
+    assert len(got) == len(every) and set(got) == every
+    # two kinds of 40 copies are all given; of 70 copies, the first has all pairs with other spellings
+    assert len(pairs([("Nora Lanarare", "PER")] * 40 + [("Lanarare, Nora", "PER")] * 40)) == 80 * 79 // 2
+    got = set(pairs([("Nora Lanarare", "PER")] * 70 + [("Lanarare, Nora", None if i else "PER") for i in range(2)] + [("Nora Lanarare", "person")]))
+    assert got == {("000", f"{i:03}") for i in [*range(1, 71), 72]} | {("070", "072")}
