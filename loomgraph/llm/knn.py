@@ -28,17 +28,20 @@ from loomgraph.runtime import broadcast_if_small, cut
 PER_ANCHOR, MOST_ANCHORS = 32, 65_536
 #: Anchors are fitted on so many vectors each, chosen by a hash of the id: at most 262,144 vectors, or 64 MB.
 SAMPLED = 4
-#: Anchors nearer to each other than this share a cell, as long as it is planned for at most ``DENSE`` vectors.
-ALIKE, DENSE = 0.8, 32_768
+#: Anchors nearer to each other than this share a cell, however many vectors it is planned for.
+ALIKE = 0.8
 #: Coarse anchors whose fine ones are looked at, and cells that a vector asks in: those with an anchor whose cosine
 #: is less than ``MARGIN`` below the best.
 COARSE, PROBES, MARGIN = 6, 5, 0.15
 #: A cell planned to hold more vectors is a square of units, each with so many vectors and so many queries.
 BLOCK = 20_000
+#: Rows that the router sends at once, about.
+SENT = 100_000
 PROJECTIONS, THRESHOLD = 16, 10
 #: Half the width of the first windows, in standard deviations of a projection, and how windows grow.
 FIRST_WIDTH, GROWTH = 0.5, 1.6
-#: Windows this wide hold most of a cell; queries not yet done then verify all of it, by a matrix product.
+#: Windows this wide, in standard deviations of a projection or of the cell's, if that is less, hold most of a cell; queries
+#: not yet done then verify all of it, by a matrix product.
 WHOLE = 1.0
 #: Windows of half-width w find a vector at distance w / SURE with near certainty (each projection with probability 0.87).
 SURE = 1.5
@@ -96,8 +99,6 @@ class Cells:
                 for i in np.argsort(-here, kind="stable"):
                     if of[i] < 0:
                         near = np.flatnonzero((alike[i] >= ALIKE) & (of < 0))
-                        near = near[np.argsort(-alike[i][near], kind="stable")]
-                        near = near[(np.cumsum(here[near]) <= DENSE) | (near == i)]
                         of[near] = len(load)
                         of[i] = len(load)
                         load.append(here[of == len(load)].sum())
@@ -109,18 +110,14 @@ class Cells:
         self._merge(np.array(leaders))
 
     def _merge(self, leaders: np.ndarray) -> None:
-        """Let large cells of one dense cloud, which the coarse anchors divided, be one as far as ``DENSE`` allows."""
+        """Let the cells of one dense cloud, which the coarse anchors divided, be one; a vector of it then asks in all of it."""
         large = np.flatnonzero(self.load >= max(8 * PER_ANCHOR, self.load.sum() / 16_384))
-        large = large[np.argsort(-self.load[large], kind="stable")]
-        to, free = np.arange(len(self.load)), np.ones(len(large), bool)
-        for i, c in enumerate(large):
-            if free[i]:
-                alike = leaders[large] @ leaders[c]
-                near = np.flatnonzero(free & (alike >= ALIKE))
-                near = near[np.argsort(-alike[near], kind="stable")]
-                near = near[(np.cumsum(self.load[large[near]]) <= DENSE) | (near == i)]
-                free[near], free[i] = False, False
-                to[large[near]] = c
+        to, free = np.arange(len(self.load)), np.ones(len(self.load), bool)
+        for c in large[np.argsort(-self.load[large], kind="stable")]:
+            if free[c]:
+                near = np.flatnonzero(free & (leaders @ leaders[c] >= ALIKE))
+                free[near], free[c] = False, False
+                to[near] = c
         load = np.zeros(len(to))
         np.add.at(load, to, self.load)
         kept = np.flatnonzero(load > 0)
@@ -178,26 +175,31 @@ def _router(cells: Cells, sides: np.ndarray, dim: int):
     """
     first = np.concatenate([[0], np.cumsum(sides * sides)])
 
+    def send(b: pa.RecordBatch, home: np.ndarray, asked: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        row, j = np.nonzero(asked >= 0)
+        cell = asked[row, j]
+        row, cell, i = _times(row, cell, sides[cell])
+        side = sides[cell]
+        unit = first[cell] + i * side + (h[row] // side) % side
+        answers = (cell == home[row]) & (i == h[row] % side)
+        # data of a square goes to the other units of its row as well
+        drow, dcell, di = _times(np.arange(len(home)), home, sides[home])
+        dside = sides[dcell]
+        other = di != (h[drow] // dside) % dside
+        drow, dunit = drow[other], (first[dcell] + (h[drow] % dside) * dside + di)[other]
+        taken = b.select(["id", "embedding"]).take(pa.array(np.concatenate([row, drow])))
+        columns = [pa.array(np.concatenate(x)) for x in ([unit.astype(np.int32), dunit.astype(np.int32)], [answers, np.ones(len(drow), bool)], [np.ones(len(row), bool), np.zeros(len(drow), bool)])]
+        return pa.RecordBatch.from_arrays([*columns, *taken.columns], ["cell", "answers", "asks", "id", "embedding"])
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             home, asked = cells.of(_unit(_matrix(b["embedding"], dim), np.float32))
             n, h = len(home), b["h"].to_numpy()
-            row, j = np.nonzero(asked >= 0)
-            cell = asked[row, j]
-            row, cell, i = _times(row, cell, sides[cell])
-            side = sides[cell]
-            unit = first[cell] + i * side + (h[row] // side) % side
-            answers = (cell == home[row]) & (i == h[row] % side)
-            # data of a square goes to the other units of its row as well
-            drow, dcell, di = _times(np.arange(n), home, sides[home])
-            dside = sides[dcell]
-            other = di != (h[drow] // dside) % dside
-            drow, dunit = drow[other], (first[dcell] + (h[drow] % dside) * dside + di)[other]
-            taken = b.select(["id", "embedding"]).take(pa.array(np.concatenate([row, drow])))
-            columns = [pa.array(np.concatenate(x)) for x in ([unit.astype(np.int32), dunit.astype(np.int32)], [answers, np.ones(len(drow), bool)], [np.ones(len(row), bool), np.zeros(len(drow), bool)])]
-            yield pa.RecordBatch.from_arrays([*columns, *taken.columns], ["cell", "answers", "asks", "id", "embedding"])
+            step = max(1, SENT // (2 * int(np.where(asked >= 0, sides[asked], 0).sum(axis=1).max())))
+            for s in range(0, n, step):
+                yield send(b.slice(s, step), home[s : s + step], asked[s : s + step], h[s : s + step])
 
     return route
 
@@ -227,9 +229,10 @@ def _collisions(x: np.ndarray, answers: np.ndarray, asks: np.ndarray, k: int, di
     np.put_along_axis(place, order, np.arange(m, dtype=np.int32)[:, None], axis=0)
     place = np.ascontiguousarray(place.T).astype(np.uint16 if m < 2**16 else np.uint32)
     single, sd = x.astype(np.float32), 1 / np.sqrt(x.shape[1])
+    most = WHOLE * min(1.0, of.std(axis=0).mean() / sd)
     pending, width = np.flatnonzero(asks), FIRST_WIDTH
     while len(pending):
-        whole = width > WHOLE or m <= 4 * k
+        whole = width > most or m <= 4 * k
         rest = []
         step = max(1, 1_000_000 // m)
         for i in range(0, len(pending), step):

@@ -67,6 +67,21 @@ def test_squares_of_a_large_cell_meet_everything(spark, monkeypatch):
     assert len(met) == 200 and all(sorted(m) == sorted(f"{i}".encode() for i in range(200)) for m in met.values())
 
 
+def test_a_vector_asks_in_all_of_its_dense_cloud():
+    r = np.random.default_rng(8)
+    cloud = r.standard_normal(64) + 0.45 * r.standard_normal((6000, 64))
+    x = np.concatenate([cloud, r.standard_normal((12000, 64))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    # each of the sample stands for a hundred: the cloud is planned for 600,000 vectors
+    cells = knn.Cells(x[r.permutation(len(x))], 4500, 100.0)
+    home, asked = cells.of(x)
+    s = x[:200] @ x.T
+    s[np.arange(200), np.arange(200)] = -2
+    near = np.argsort(-s, axis=1)[:, :5]
+    met = (home[near][:, :, None] == asked[:200][:, None, :]).any(axis=2)
+    assert met.mean() >= 0.99
+
+
 def test_ids_survive_packing(spark):
     ids = ["0aa00000-0000-4000-8000-0000000000bb", "", "x", "0AA00000-0000-4000-8000-0000000000BB", "äöü" * 9, "00000000-0000-0000-0000-000000000000"]
     df = spark.createDataFrame([(i,) for i in ids], "id string")
