@@ -5,10 +5,11 @@ needs a known given name or an initial beside a family name, or a place in which
 
 Surrogates are made by keyed permutations: letters are permuted among vowels and among consonants within their
 alphabet, keeping case and accents out of place; digits are permuted at each position; given names are permuted among
-those of the same gender. All of these are one-to-one, so two originals of a format never get the same replacement
-(no table of assignments has to be shared between tasks), and an original gets the same replacement wherever and
-in whatever form it stands: "Smith, Jane", "J. Smith" and "JANE SMITH" stay recognisable as one person. Each replacement
-is checked against its original, and a permutation without fixed points is drawn for letters and digits.
+those of the same gender, and other words never become a given name of the list. All of these are one-to-one, so two
+originals of a format never get the same replacement (no table of assignments has to be shared between tasks), and an
+original gets the same replacement wherever it stands: "Smith, Jane" and "JANE SMITH" stay recognisable as one person. An
+initial is permuted as a letter, as it may stand for many names: "J. Smith" keeps the family name of "Jane Smith", but
+its initial needn't be that of the new given name. Permutations of letters and digits have no fixed points.
 """
 
 from __future__ import annotations
@@ -92,6 +93,7 @@ CUED_PHONE = re.compile(r"(?i:\b(?:tel|phone|call|fax|mobile|telephone|télépho
 
 _PLACE = rf"(?!(?:Tel|Phone|Fax|Mobil|Handy|Email|Mail)\b){_CAP}(?:[ -]{_CAP}){{0,2}}"
 _KIND = r"(?:Street|St\.(?=,)|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Close|Court|Terrace|Way|Place|Row|Crescent|Gardens|Hill)"
+_FIXED = re.compile(rf"{_KIND}|Flat|Box|Calle|Avenida|Plaza|Postfach|Apt|Unit")
 _IN = r"(?:(?:upon|on|le|la|in|am)\s)?"
 ADDRESS = re.compile(
     rf"(?:(?:P\.\s?O\.|P\.?O\.?|Post Office)\sBox\s\d+|Postfach\s\d+(?:\s\d+)*|Boîte postale\s\d+|Apartado\s\d+)(?:,\s(?:\d{{4,6}}\s)?{_PLACE})?"
@@ -241,15 +243,25 @@ class Surrogates:
         self._random(what).shuffle(order)
         return dict(zip(order, order[1:] + order[:1]))
 
-    def word(self, w: str) -> str:
-        """A word letter by letter; accented letters stay, so that the script is kept."""
+    def word(self, w: str, kept: re.Pattern | None = None) -> str:
+        """A word letter by letter; accented letters stay, so that the script is kept.
+
+        Words of the list become words of the list. Others are permuted until they are neither on it nor ``kept`` (words
+        that the caller leaves as they are), so that all words together are still permuted one-to-one.
+        """
         if w.casefold() in self.given:
             new = self.given[w.casefold()]
             return new.upper() if w.isupper() and len(w) > 1 else new.capitalize() if w[:1].isupper() else new
-        return "".join((x := self.letters.get(c.lower(), c)) and (x.upper() if c.isupper() else x) for c in w)
+        while True:
+            w = "".join((x := self.letters.get(c.lower(), c) if c.isascii() else c) and (x.upper() if c.isupper() else x) for c in w)
+            if w.casefold() not in self.given and not (kept and kept.fullmatch(w)):
+                return w
 
     def digits(self, value: str, kind: str) -> str:
-        """A number with each digit permuted by its place from the right; signs, prefixes and letters of the format stay."""
+        """A number with each digit permuted by its place from the left; signs, prefixes and letters of the format stay.
+
+        A leading 0 of a phone number stays, and another leading digit doesn't become 0.
+        """
         order = [i for i, c in enumerate(value) if c.isdigit() and c.isascii()]
         keep = 0
         if kind == "PHONE" and value.startswith("+"):
@@ -257,9 +269,10 @@ class Surrogates:
         elif kind == "PHONE" and order and value[order[0]] == "0":
             keep = 1
         out = list(value)
-        for k, i in enumerate(order[keep:]):
-            shift = self._shift("0123456789", f"{kind} {len(order)} {k}")
-            out[i] = shift[value[i]]
+        for k, i in enumerate(order):
+            if k >= keep:
+                first = kind == "PHONE" and k == 0
+                out[i] = self._shift("123456789" if first else "0123456789", f"{kind} {len(order)} {k}")[value[i]]
         return "".join(out)
 
     def __call__(self, kind: str, value: str) -> str:
@@ -271,7 +284,7 @@ class Surrogates:
             host = re.split(_DOT, value[sep.end() :])[0]
             return local + sep[0] + re.sub(r"[^\W\d_]+", lambda m: self.word(m[0]), host) + value[sep.end() + len(host) :]
         if kind == "ADDRESS":
-            some = re.sub(rf"(?<!\w){_CAP}(?!\w)", lambda m: m[0] if re.fullmatch(rf"{_KIND}|Flat|Box|Calle|Avenida|Plaza|Postfach|Apt|Unit", m[0]) else self.word(m[0]), value)
+            some = re.sub(rf"(?<!\w){_CAP}(?!\w)", lambda m: m[0] if _FIXED.fullmatch(m[0]) else self.word(m[0], _FIXED), value)
             return self.digits(some, kind)
         return re.sub(r"[A-Z]{3,}", lambda m: self.word(m[0]), self.digits(value, kind))
 

@@ -46,6 +46,21 @@ def test_surrogates_are_typed_distinct_and_consistent():
     assert pii.Surrogates(b"key")("ID_NUMBER", "QQ 08 96 65 A") == s("ID_NUMBER", "QQ 08 96 65 A") != "QQ 08 96 65 A"
 
 
+def test_surrogates_of_different_values_differ():
+    for key in (b"a", b"b", b"c"):
+        s = pii.Surrogates(key)
+        # words that letter by letter would become a name of the list, or a word that addresses keep
+        back = {v: k for k, v in s.letters.items()}
+        listed = sorted(n for n in pii.FEMALE + pii.MALE if n.isascii())
+        words = sorted({"".join(back.get(c, c) for c in n) for n in [*listed, "hill", "close", "place"]} | set(listed))
+        assert len({s("NAME", f"Nora {w.capitalize()}") for w in words}) == len(words)
+        streets = sorted({w.capitalize() for w in words} | {"Hill", "Close", "Place"})
+        assert len({s("ADDRESS", f"5 {w} Road") for w in streets}) == len(streets)
+        phones = [f"{x:03}-{y:04}" for x in range(0, 1000, 5) for y in range(0, 10000, 97)]
+        assert len({s("PHONE", p) for p in phones}) == len(phones)
+        assert all((s("PHONE", p)[0] == "0") == (p[0] == "0") for p in phones[::50])
+
+
 def test_tables(spark):
     rows = [(1, CASES[0][0]), (1, CASES[0][0]), (2, None), (3, ""), (4, "plain words " * 50_000), (None, "Nora Balova")]
     df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, value string, pii_type string")
