@@ -132,9 +132,9 @@ _TITLES = frozenset("Dr Mr Mrs Ms Prof Rev Hon Sir St Herr Frau Monsieur Madame
 
 
 _AT_SIGN = re.compile(r"[@＠]|[\[({]at[\])}]|\sAT\s|\sat\s[\w-]+\s(?:dot|DOT)\s")
-_CUE_SIGN = re.compile(r"(?i)pass[pe]|pass$|ssn|social|ni num|national i|cu[ r0-9]|licen|permis|ausweis|identity|card|nummer|personal n|tax|\b(?:id|dni)\b[\s.:#-]")
+_CUE_SIGN = re.compile(r"(?i)pass|ssn|social|ni num|national i|s[ée]cu|licen|permis|ausweis|identity|card|nummer|personal n|tax|\b(?:id|dni)\b[\s.:#-]")
 _CALL_SIGN = re.compile(r"(?i)tel|phone|call|fax|mobil|téléph|handy")
-_STREETS = tuple("Box Postfach postale Apartado Street St. Road Rd Avenue Ave Lane Ln Drive Close Court Terrace Way Place Row Crescent Gardens Hill straße strasse str. gasse weg platz allee ufer damm rue avenue boulevard place chemin impasse allée quai Calle Avenida Plaza Paseo Camino".split())
+_STREETS = tuple("Box Postfach postale Apartado Street St Road Rd Avenue Ave Lane Ln Drive Close Court Terrace Way Place Row Crescent Gardens Hill straße strasse str. gasse weg platz allee ufer damm rue avenue boulevard place chemin impasse allée quai Calle Avenida Plaza Paseo Camino".split())
 _WORDS = re.compile(r"[^\W\d_]+")
 _INITIAL_SIGN = re.compile(rf"(?<![\w'’.]){_INITIAL}")
 

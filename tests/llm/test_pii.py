@@ -21,6 +21,29 @@ def test_cases(text, want):
     assert {(k, text[a:z]) for a, z, k in pii.find(text)} == want
 
 
+CUES = """passport passeport reisepass Reisepass ssn,social security,ni number,national insurance,numéro de sécu,numero de secu,numéro de sécurité sociale
+license licence permis ausweis,identity card,id card,personnummer,personal no,personal number,id,dni,tax id""".replace("\n", ",")
+
+
+@pytest.mark.parametrize("cue", [c for x in CUES.split(",") for c in (x.split() if x.startswith(("passport", "license")) else [x])])
+def test_every_cue_of_a_number_passes_the_quick_test(cue):
+    for sep in (" ", ": ", " no. ", ".", "-", "#"):
+        line = f"{cue}{sep}Z12345678"
+        if pii.CUED_ID.search(line):
+            assert ("ID_NUMBER", "Z12345678") in {(k, line[a:z]) for a, z, k in pii.find(line)}, line
+
+
+def test_every_street_and_call_passes_the_quick_test():
+    kinds = "Street St Road Rd Avenue Ave Lane Ln Drive Close Court Terrace Way Place Row Crescent Gardens Hill".split()
+    lines = [f"57 Mill {k}, Town" for k in kinds] + [f"Linden{k} 15" for k in "straße strasse str. gasse weg platz allee ufer damm".split()]
+    lines += [f"12 {k} Victor" for k in "rue avenue boulevard place chemin impasse allée quai".split()] + [f"{k} Mayor 5" for k in "Calle Avenida Plaza Paseo Camino".split()]
+    lines += ["P.O. Box 678", "Post Office Box 678", "Postfach 12", "Boîte postale 12", "Apartado 12"]
+    for line in lines:
+        assert pii.ADDRESS.search(line) and "ADDRESS" in {k for _, _, k in pii.find(line)}, line
+    for cue in "tel,phone,call,fax,mobile,telephone,téléphoner au,teléfono,telefon,handy".split(","):
+        assert pii.CUED_PHONE.search(f"{cue} 555-1234567") and pii._CALL_SIGN.search(f"{cue} 555-1234567"), cue
+
+
 def test_nothing_in_nothing():
     assert pii.find(None) == [] and pii.find("") == [] and pii.replaced(None, str) is None
 
