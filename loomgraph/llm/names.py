@@ -3,7 +3,7 @@
 1. A name is folded (case, accents, look-alike characters) and taken apart; titles and small words are dropped and
    common abbreviations written out. What is left are its parts, and its initials.
 2. The distinct parts of each kind of entity are sharded by pieces that survive two edits (a part cut in three keeps one
-   of its pieces whole), each shard is a trie, and a Levenshtein automaton walks it to list all neighbours within the
+   of its pieces whole, but for a swap across a cut), each shard is a trie, and a Levenshtein automaton that counts a swap once walks it to list all neighbours within the
    bound. A rare part takes the spelling of its most frequent neighbour.
 3. Names whose parts are then the same in any order are one name. Short forms (initials, pet names that stand for
    several given names, acronyms) join the one full name that they fit; where they fit several, they are left apart.
@@ -155,6 +155,29 @@ class Trie:
                 if min(new) <= most:
                     stack.append((child, tuple(new)))
 
+    def within_swaps(self, part: str, most: int) -> Iterator[object]:
+        """The values of all parts within ``most`` ``edits``: as ``within``, but a swap of neighbours counts once.
+
+        A state also holds the row before and the character that led from it; a swap goes on from that row.
+        """
+        start = tuple(range(len(part) + 1))
+        stack = [(self.root, start, None, "")]
+        while stack:
+            node, row, before, last = stack.pop()
+            for c, child in node.items():
+                if c == "":
+                    if row[-1] <= most:
+                        yield from child
+                    continue
+                new = [row[0] + 1]
+                for j, x in enumerate(part):
+                    d = min(new[j] + 1, row[j + 1] + 1, row[j] + (x != c))
+                    if before and j and x == last and part[j - 1] == c:
+                        d = min(d, before[j - 1] + 1)
+                    new.append(d)
+                if min(new) <= most or min(row) < most:
+                    stack.append((child, tuple(new), row, c))
+
 
 def _bound(part: str) -> int:
     return 0 if len(part) < SHORT else 1 if len(part) < LONG else 2
@@ -167,11 +190,19 @@ def _cuts(n: int) -> list[tuple[int, int]]:
 
 
 def index_keys(part: str) -> list[str]:
-    return [f"{i}.{len(part)}.{part[a:z]}" for i, (a, z) in enumerate(_cuts(len(part)))]
+    """Keys of the three pieces, and of the outer two as they are after a swap with the piece beside them."""
+    n = len(part)
+    (_, a), _, (d, _) = _cuts(n)
+    keys = [f"{i}.{n}.{part[x:z]}" for i, (x, z) in enumerate(_cuts(n))]
+    return list(dict.fromkeys([*keys, *([f"0.{n}.{part[: a - 1]}{part[a]}", f"2.{n}.{part[d - 1]}{part[d + 1 :]}"] if n >= SHORT else [])]))
 
 
 def probe_keys(part: str) -> list[str]:
-    """Keys under which parts within two Levenshtein edits are indexed: of three pieces, two edits leave one whole."""
+    """Keys under which parts within two edits are indexed, a swap counting once.
+
+    Of three pieces, two edits leave one whole; a swap across a cut changes two pieces, but the outer one only as
+    ``index_keys`` foresees.
+    """
     n, keys = len(part), set()
     for m in range(max(SHORT, n - 2), n + 3):
         (_, a), (b, c), (d, _) = _cuts(m)
@@ -212,7 +243,7 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not asks:
                 trie.add(part, (key, part, n))
                 continue
-            for other_key, other, m in trie.within(part, 2):
+            for other_key, other, m in trie.within_swaps(part, 2):
                 # a rare part may take the spelling of a more frequent one, or of the smaller of two as frequent
                 if other_key == key and other != part and (m, part) > (n, other) and (n <= RARE or n * TIMES <= m) and edits(part, other) <= min(_bound(part), _bound(other)):
                     out.append((key.split(".")[0], part, other, m))

@@ -55,6 +55,24 @@ def test_edits_count_a_swap_once():
     assert names.edits("kahterine", "katherine") == 1 and names.edits("abc", "abc") == 0 and names.edits("", "ab") == 2
 
 
+def test_two_edits_with_swaps_are_candidates():
+    r = random.Random(3)
+    words = sorted({"".join(r.choice("abc") for _ in range(r.randint(4, 9))) for _ in range(1200)})
+    trie = names.Trie()
+    for w in words:
+        trie.add(w, w)
+    for w in words[::12]:
+        near = {x for x in words if names.edits(w, x) <= 2}
+        assert set(trie.within_swaps(w, 2)) == near
+        assert all(set(names.probe_keys(w)) & set(names.index_keys(x)) for x in near)
+    a, b = "pruldungirje", "pruldingrije"
+    assert names.edits(a, b) == 2 and set(names.probe_keys(a)) & set(names.index_keys(b))
+
+
+def test_parts_two_swaps_apart_are_one_name(spark):
+    assert groups(spark, [("Pruldungirje", "LOC"), ("Pruldingrije", "LOC"), ("Abcdefghijkl", "LOC"), ("Abcedfghjikl", "LOC")]) == [[0, 1], [2, 3]]
+
+
 def test_variants_are_one_and_others_are_not(spark):
     people = ["Katherine Benulave", "Benulave, Katherine", "Kahterine Benulave", "K. Benulave", "Dr. Katherine B. Benulavé", "KATHERINE BENULAVE", "Kate Benulave", "Katherine Benu1ave"]
     rows = [(n, t) for n, t in zip(people, itertools.cycle(["PER", "B-PER", "person", "I-per"]))] + [("Ursula Benulave", "PER"), ("Katherine Benulave", "ORG")]
