@@ -23,13 +23,13 @@ def _scored(chunks: DataFrame, query: Sequence[float], threshold: float, rids: S
     return some.filter(F.col("embedding").isNotNull()).withColumn("similarity", sim).filter(F.col("similarity") >= threshold)
 
 
-def top_k(chunks: DataFrame, query: Sequence[float], k: int = 5, threshold: float = 0.0, rids: Sequence[str] = ()) -> DataFrame:
-    """The k chunks most similar to ``query`` with a similarity of at least ``threshold``, of documents ``rids`` if given.
+def top_k(chunks: DataFrame, query: Sequence[float], k: int | None = 5, threshold: float = 0.0, rids: Sequence[str] = ()) -> DataFrame:
+    """The k chunks (None: all) most similar to ``query`` with a similarity of at least ``threshold``, of documents ``rids`` if given.
 
     Similarity is cosine in double precision. A chunk whose cosine isn't defined isn't found. Ties (to nine digits) by id.
     """
-    hit = _scored(chunks, query, threshold, rids)
-    return hit.orderBy(F.round("similarity", 9).desc(), "id").limit(k)
+    hit = _scored(chunks, query, threshold, rids).orderBy(F.round("similarity", 9).desc(), "id")
+    return hit if k is None else hit.limit(k)
 
 
 def ranked(seeds: DataFrame) -> DataFrame:

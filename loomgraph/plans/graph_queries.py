@@ -62,7 +62,7 @@ def vec_topk(s, d):
 
 @query(_SCORED + "SELECT id, round(sim, 6) AS similarity FROM sc WHERE sim >= 0.3 ORDER BY round(sim, 9) DESC, id LIMIT 100000")
 def vec_threshold(s, d):
-    return _sims(vector.top_k(_chunks(s, d), _vec0(s, d), 100_000, 0.3))
+    return _sims(vector.top_k(_chunks(s, d), _vec0(s, d), None, 0.3))
 
 
 @query(_SCORED + "SELECT id, round(sim, 6) AS similarity FROM sc WHERE sim >= 0 AND document_rid IN ('doc1', 'doc2') ORDER BY round(sim, 9) DESC, id LIMIT 10")

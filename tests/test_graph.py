@@ -205,3 +205,13 @@ def test_cosine_edge_cases(spark):
     df = spark.createDataFrame(rows, "a array<float>, b array<float>, want double")
     for r in df.select("want", cosine(F.col("a"), F.col("b")).alias("c"), cosine_or_zero(F.col("a"), F.col("b")).alias("z")).collect():
         assert (r.c is None) == (r.want is None) and (r.want is None or abs(r.c - r.want) < 1e-9) and r.z == (r.want or 0.0)
+
+
+def test_a_search_by_threshold_gives_all_hits(spark, monkeypatch):
+    from loomgraph.plans import graph_queries as G
+
+    many = spark.range(100_050).select(F.format_string("n%06d", "id").alias("id"), F.lit("p").alias("path"), F.lit("doc1").alias("document_rid"), F.array(F.lit(1.0), F.lit(0.5)).alias("embedding"))
+    monkeypatch.setattr(G, "_chunks", lambda s, d: many)
+    monkeypatch.setattr(G, "_vec0", lambda s, d: [1.0, 0.0])
+    assert G.vec_threshold(spark, "").count() == 100_050
+    assert vector.top_k(many, [1.0, 0.0], 3).count() == 3 and vector.top_k(many, [0.0, -1.0], None, 0.3).count() == 0
