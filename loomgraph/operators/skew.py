@@ -172,15 +172,18 @@ def pair_counts(df: DataFrame, keys: list[str], id_col: str, targets: list[str],
     return total.select(*keys, "n_rows", "n_ids", F.coalesce("n_targets", F.lit(0)).alias("n_targets"), F.try_divide("_s", "_c").alias("mean_weight"))
 
 
-def fragment_replicate_join(left: DataFrame, right: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
+def fragment_replicate_join(left: DataFrame, right: DataFrame, keys: list[str], tasks: int | None = None, by: list[str] | None = None) -> DataFrame:
     """Inner equi-join of a skewed ``left`` with ``right`` on ``keys``; null keys match nothing, as in SQL.
 
-    Rows of a split key of ``left`` are dealt over its shards; rows of ``right`` go to their key's task, and to
-    every shard of a split key. Repeated rows multiply as in any join. Columns of ``right`` that ``left`` has too
-    must be renamed before; columns ``_h``, ``_shard`` and ``_task`` are used and dropped.
+    Rows of a split key of ``left`` are dealt over its shards one by one, by their number in their partition, so that
+    shards are even whatever the other columns hold; rows of ``right`` go to their key's task, and to every shard of a
+    split key. A row's number is the same whenever a partition is computed again, if the rows of ``left`` come in a
+    fixed order, as from files or a checkpoint; otherwise name columns ``by`` whose hash deals them. Repeated rows
+    multiply as in any join. Columns of ``right`` that ``left`` has too must be renamed before; columns ``_h``,
+    ``_shard``, ``_task`` and ``_deal`` are used and dropped.
     """
     l, r = left.dropna(subset=keys), right.dropna(subset=keys)
     plan = plan_load(l, keys, tasks)
-    ours = spread(l, keys, [c for c in l.columns if c not in keys] or keys, plan).drop("_h")
+    ours = spread(l.withColumn("_deal", F.xxhash64(*by) if by else F.monotonically_increasing_id()), keys, ["_deal"], plan).drop("_h", "_deal")
     theirs = replicated(r, keys, plan).drop("_h", "_split").repartitionById(plan.tasks, "_task")
     return ours.join(theirs, ["_task", "_shard", *keys]).drop("_task", "_shard")

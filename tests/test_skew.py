@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators.skew import fragment_replicate_join, join_shards, pack, pair_counts, plan_load, self_join_shards
+from loomgraph.operators.skew import fragment_replicate_join, join_shards, pack, pair_counts, plan_load, self_join_shards, spread
 
 SCHEMA = "id string, k1 string, k2 string, t1 string, t2 string, w double, _h string, n_rows long"
 
@@ -69,6 +69,21 @@ def test_join_equals_plain_join(spark):
     assert fragment_replicate_join(left.limit(0), right, ["k"]).count() == 0
 
 
+def test_a_hot_key_without_other_values_is_dealt_evenly(spark, tmp_path):
+    """Rows of the hot key are all the same, so nothing but their number can tell them apart."""
+    spark.createDataFrame([("hot", "same")] * 4000 + [(f"k{i}", "same") for i in range(1000)], "k string, x string").write.parquet(str(tmp_path / "l"))
+    left = spark.read.parquet(str(tmp_path / "l"))
+    plan = plan_load(left, ["k"], tasks=8)
+    ((first, shards),) = plan.split.values()
+    sent = spread(left.withColumn("_deal", F.monotonically_increasing_id()), ["k"], ["_deal"], plan)
+    per_shard = [r["count"] for r in sent.filter("k = 'hot'").groupBy("_shard").count().collect()]
+    assert len(per_shard) == shards and max(per_shard) <= 1.4 * 4000 / shards
+    right = spark.createDataFrame([("hot", "A"), ("k1", "B")], "k string, y string")
+    got = {(r.k, r.y): r["count"] for r in fragment_replicate_join(left, right, ["k"], tasks=8).groupBy("k", "y").count().collect()}
+    assert got == {("hot", "A"): 4000, ("k1", "B"): 1}
+    assert fragment_replicate_join(left, right, ["k"], tasks=8, by=["x"]).count() == 4001
+
+
 def test_shards_bring_every_pair_together_once(spark):
     df = spark.createDataFrame([("hot", i) for i in range(60)] + [("b", 100), ("b", 101), (None, 5)], "k string, x int")
     arranged = self_join_shards(df, ["k"], ["x"], tasks=4)
