@@ -65,22 +65,25 @@ def plan_load(df: DataFrame, keys: list[str], tasks: int | None = None) -> LoadP
     """
     least = tasks or parallelism(df.sparkSession)
     buckets = least * BUCKETS
-    by_key = df.select(key_hash(keys).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
-    by_bucket = by_key.groupBy(F.pmod("h", F.lit(buckets)).alias("b")).agg(F.sum("n").alias("n"), F.max("n").alias("top"))
-    rows = by_bucket.collect()
-    total = sum(r["n"] for r in rows)
-    tasks = tasks or min(buckets, max(least, ceil(total / MOST_ROWS)))
-    share = max(1, ceil(total / (tasks * SHARES)))
-    loads = [0] * buckets
-    for r in rows:
-        loads[r["b"]] = r["n"]
-    split: dict[int, tuple[int, int]] = {}
-    if any(r["top"] > share for r in rows):
-        for r in by_key.filter(F.col("n") > share).collect():
-            shards = ceil(r["n"] / share)
-            split[r["h"]] = (len(loads), shards)
-            loads[r["h"] % buckets] -= r["n"]
-            loads += [ceil(r["n"] / shards)] * shards
+    # counted once; the counts are kept while they are read twice
+    by_key = df.select(key_hash(keys).alias("h")).groupBy("h").agg(F.count("*").alias("n")).persist()
+    try:
+        rows = by_key.groupBy(F.pmod("h", F.lit(buckets)).alias("b")).agg(F.sum("n").alias("n"), F.max("n").alias("top")).collect()
+        total = sum(r["n"] for r in rows)
+        tasks = tasks or min(buckets, max(least, ceil(total / MOST_ROWS)))
+        share = max(1, ceil(total / (tasks * SHARES)))
+        loads = [0] * buckets
+        for r in rows:
+            loads[r["b"]] = r["n"]
+        split: dict[int, tuple[int, int]] = {}
+        if any(r["top"] > share for r in rows):
+            for r in by_key.filter(F.col("n") > share).collect():
+                shards = ceil(r["n"] / share)
+                split[r["h"]] = (len(loads), shards)
+                loads[r["h"] % buckets] -= r["n"]
+                loads += [ceil(r["n"] / shards)] * shards
+    finally:
+        by_key.unpersist()
     return LoadPlan(tasks, buckets, split, pack(loads, tasks))
 
 
@@ -142,16 +145,6 @@ def join_shards(asking: DataFrame, answering: DataFrame, keys: list[str], by: li
     return both.drop("_split").repartitionById(plan.tasks, "_task").drop("_task").sortWithinPartitions("_h", "_shard", "asks")
 
 
-def balanced_distinct(df: DataFrame, keys: list[str], value: str, aggs: dict[str, tuple[Column, Column]], name: str, plan: LoadPlan) -> DataFrame:
-    """Per key and shard: ``name``, the number of distinct non-null ``value``, and further aggregates.
-
-    ``aggs`` has for each further result an aggregate over rows and one that adds such results up.
-    """
-    sent = spread(df, keys, [value], plan)
-    values = sent.groupBy("_task", "_shard", *keys, value).agg(F.lit(1).alias("_one"), *[a.alias(n) for n, (a, _) in aggs.items()])
-    return values.groupBy("_task", "_shard", *keys).agg(F.count(value).alias(name), *[again.alias(n) for n, (_, again) in aggs.items()])
-
-
 def pair_counts(df: DataFrame, keys: list[str], id_col: str, targets: list[str], weight: str, tasks: int | None = None) -> DataFrame:
     """Per key: ``n_rows``, ``n_ids``, ``n_targets`` (exact distinct numbers) and ``mean_weight``, whatever the skew.
 
@@ -159,17 +152,22 @@ def pair_counts(df: DataFrame, keys: list[str], id_col: str, targets: list[str],
     counted as distinct, null weights not averaged; a key without weights has a null mean. A row with two targets
     counts for both, and equal values in different target columns are different targets. Repeated rows count in
     ``n_rows`` and in the mean as often as they come. An empty ``df`` gives no rows; other columns are ignored.
+
+    Ids and targets go through one pass: a row becomes one value for its id, which carries the weight, and one for
+    each target. Equal values of a key come into the same shard, so that their distinct numbers add up over shards.
     """
     plan = plan_load(df, keys, tasks)
-    base = df.select(*keys, F.col(id_col).alias("_id"), F.col(weight).cast("double").alias("_w"))
-    sums = {"n_rows": (F.count("*"), F.sum("n_rows")), "_s": (F.sum("_w"), F.sum("_s")), "_c": (F.count("_w"), F.sum("_c"))}
-    by_id = balanced_distinct(base, keys, "_id", sums, "n_ids", plan)
-    ends = F.array_compact(F.array(*[F.concat(F.lit(f"{i}:"), F.col(t)) for i, t in enumerate(targets)]))
-    by_target = balanced_distinct(df.select(*keys, F.explode(ends).alias("_target")), keys, "_target", {}, "n_targets", plan)
-    none = {"n_ids": "long", "n_targets": "long", "n_rows": "long", "_s": "double", "_c": "long"}
-    both = [part.select(*keys, *[F.col(c) if c in part.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()]) for part in (by_id, by_target)]
-    total = both[0].unionByName(both[1]).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in none])
-    return total.select(*keys, "n_rows", "n_ids", F.coalesce("n_targets", F.lit(0)).alias("n_targets"), F.try_divide("_s", "_c").alias("mean_weight"))
+    value = lambda tag, v, n, w: F.struct(F.lit(tag).alias("_tag"), v.cast("string").alias("_value"), n.cast("long").alias("_n"), w.cast("double").alias("_w"))
+    none = F.lit(None)
+    each = [value(0, F.col(id_col), F.lit(1), F.col(weight))]
+    each += [F.when(F.col(t).isNotNull(), value(i, F.col(t), none, none)) for i, t in enumerate(targets, 1)]
+    values = df.select(*keys, F.explode(F.array_compact(F.array(*each))).alias("_v")).select(*keys, "_v.*")
+    once = spread(values, keys, ["_tag", "_value"], plan).groupBy("_task", "_shard", *keys, "_tag", "_value")
+    once = once.agg(F.sum("_n").alias("_n"), F.sum("_w").alias("_s"), F.count("_w").alias("_c"))
+    sums = {"n_rows": F.sum("_n"), "n_ids": F.count_if((F.col("_tag") == 0) & F.col("_value").isNotNull()), "n_targets": F.count_if(F.col("_tag") > 0), "_s": F.sum("_s"), "_c": F.sum("_c")}
+    parts = once.groupBy("_task", "_shard", *keys).agg(*[a.alias(c) for c, a in sums.items()])
+    total = parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+    return total.select(*keys, "n_rows", "n_ids", "n_targets", F.try_divide("_s", "_c").alias("mean_weight"))
 
 
 def fragment_replicate_join(left: DataFrame, right: DataFrame, keys: list[str], tasks: int | None = None, by: list[str] | None = None) -> DataFrame:
