@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BLANKS_AND_BRACES = r"^[\s{}]+|[\s{}]+$"
+_BLANKS_AND_BRACES = " \t\n\v\f\r{}"
 
 
 def normal_id(c: Column) -> Column:
     """An id without letter case, braces and outer blanks; null where nothing is left."""
-    return F.nullif(F.lower(F.regexp_replace(c, _BLANKS_AND_BRACES, "")), F.lit(""))
+    return F.nullif(F.lower(F.btrim(c, F.lit(_BLANKS_AND_BRACES))), F.lit(""))
 
 
 def id_key(c: Column) -> Column:
@@ -19,7 +19,7 @@ def id_key(c: Column) -> Column:
     Two keys are equal exactly if the normal ids are; the other form is longer than 16 bytes.
     """
     n = normal_id(c)
-    uuid = n.rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
+    uuid = (F.length(n) == 36) & n.rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
     return F.when(uuid, F.unhex(F.replace(n, F.lit("-"), F.lit("")))).otherwise(
         F.concat(F.unhex(F.lit("00" * 16)), F.encode(n, "utf-8"))
     )
