@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.ids import id_key
-from loomgraph.runtime import broadcast_if_small, cut
+from loomgraph.operators.skew import fragment_replicate_join
+from loomgraph.runtime import cut, small
 
 #: Endpoint columns of edges and the kind of record that each refers to.
 ENDPOINTS = {"source_chunk_id": "chunk", "target_chunk_id": "chunk", "source_entity_id": "entity", "target_entity_id": "entity"}
-#: Bad keys are broadcast up to this many rows of about 40 bytes, else shuffled.
+#: Bad keys are broadcast up to this many rows of about 40 bytes. With more, references are joined in shards, as one
+#: missing parent may be referred to by a large share of them.
 BROADCAST_ROWS = 200_000
 
 
@@ -42,7 +44,7 @@ def references(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("id").alias("edge_id"), "created_at", F.explode(F.filter(ends, lambda x: x["key"].isNotNull())).alias("e")).select("edge_id", "created_at", "e.*")
 
 
-def orphans(edges: DataFrame, chunks: DataFrame, entities: DataFrame, deletions: DataFrame) -> DataFrame:
+def orphans(edges: DataFrame, chunks: DataFrame, entities: DataFrame, deletions: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(edge_id, created_at, ref_column): the references to records never there, deleted, or created after the edge.
 
     Ids are compared without letter case, braces and outer blanks. Edges without created_at are never early. A row
@@ -55,6 +57,6 @@ def orphans(edges: DataFrame, chunks: DataFrame, entities: DataFrame, deletions:
     # one join tells keys without a standing parent from keys whose parent is younger than some reference
     missing = keys.join(known, ["kind", "key"], "left")
     bad = cut(missing.filter(F.col("stands").isNull() | (F.col("earliest") < F.col("first_at"))).select("kind", "key", "first_at", "stands"))
-    found = refs.join(broadcast_if_small(bad, BROADCAST_ROWS), ["kind", "key"])
+    found = refs.join(F.broadcast(bad), ["kind", "key"]) if small(bad, broadcast_rows) else fragment_replicate_join(refs, bad, ["kind", "key"], by=["edge_id", "ref_column"])
     late = F.col("stands").isNull() | (F.col("created_at") < F.col("first_at"))
     return found.filter(late).select("edge_id", "created_at", "ref_column")

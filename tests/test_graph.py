@@ -136,6 +136,13 @@ def test_edges_are_checked(spark):
     assert E.insert_edges(none, spark.createDataFrame([edge("a", "x", "y")], EDGE)).count() == 1
 
 
+def test_components_with_a_hub_in_shards(spark):
+    pairs = [("a", f"x{i:03d}") for i in range(200)] + [("x000", "y"), ("p", "q"), (None, "q"), ("z", "z")]
+    df = spark.createDataFrame(pairs, "id_a string, id_b string")
+    whole, shards = ({x.id: x.group for x in components(df, hub=h).collect()} for h in (10_000, 20))
+    assert whole == shards and set(whole.values()) == {"a", "p", "z"} and whole["y"] == "a"
+
+
 def test_components(spark):
     r = random.Random(3)
     pairs = [(f"n{i:03}", f"n{i + 1:03}") for i in range(0, 60) if i % 7] + [("x", "x"), (None, "n001"), ("b", "a"), ("b", "a")]

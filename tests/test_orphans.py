@@ -34,3 +34,11 @@ def test_empty_tables(spark):
 
 def test_parent_without_time_is_neither_late_nor_deleted(spark):
     assert found(spark, [("e", "c", None, None, None, T[0])], [("c", None)], (), [("c", "chunk", T[1])]) == set()
+
+
+def test_many_bad_keys_are_joined_in_shards(spark):
+    """The way beyond the bound of the broadcast gives the same rows, also where one missing parent has most references."""
+    edges = [(f"e{i}", "gone" if i % 3 else f"g{i}", "c1", None, "n1" if i % 2 else "late", T[5]) for i in range(300)]
+    tables = [spark.createDataFrame([(*e, "x", "y") for e in edges], E), spark.createDataFrame([("c1", T[0], "z")], N), spark.createDataFrame([("n1", T[0], "z"), ("late", T[7], "z")], N), spark.createDataFrame([], D)]
+    few, many = ({(r.edge_id, r.ref_column) for r in orphans(*tables, broadcast_rows=n).collect()} for n in (1000, 0))
+    assert many == few and len(few) == 300 + 150
