@@ -1,15 +1,18 @@
 """Personal information in free text: found by rules, replaced by typed placeholders or by keyed surrogates.
 
-Detection is a set of patterns for each type, most specific first, so that no place in a text has two types. A name
-needs a known given name or an initial beside a family name, or a place in which texts present a person.
-
-Surrogates are made by keyed permutations: letters are permuted among vowels and among consonants within their
-alphabet, keeping case and accents out of place; digits are permuted at each position; given names are permuted among
-those of the same gender, and other words never become a given name of the list. All of these are one-to-one, so two
-originals of a format never get the same replacement (no table of assignments has to be shared between tasks), and an
-original gets the same replacement wherever it stands: "Smith, Jane" and "JANE SMITH" stay recognisable as one person. An
-initial is permuted as a letter, as it may stand for many names: "J. Smith" keeps the family name of "Jane Smith", but
-its initial needn't be that of the new given name. Permutations of letters and digits have no fixed points.
+Detection is a set of patterns for each type, most specific first, so that no place in a text has two types. A name is
+found by what it is (a known given name or an initial beside a family name) or by where it stands: after a title, before
+a date of birth, as the value of a role, as a signature, beside a contact that was found, with a verb of which only persons
+are subject, or coordinated with a name that was found.
+
+Surrogates are made by keyed permutations: ASCII letters among vowels and among consonants, keeping case and accents;
+letters of other scripts within their script and case; digits at each position; given names among those of the same
+gender. Words that aren't on the list of given names never become one that is, so that the images of both don't overlap.
+Each mapping is one-to-one, so different originals of a type never get the same replacement, no table of assignments has
+to be shared between tasks, and an original gets the same replacement wherever it stands: "Smith, Jane" and "JANE SMITH"
+stay recognisable as one person. ``surrogate_faults`` checks that over all values of a table. An initial is permuted as a
+letter, as it may stand for many names: "J. Smith" keeps the family name of "Jane Smith", but its initial needn't be
+that of the new given name. Permutations have no fixed points. Spellings that Unicode holds equal count as one value.
 """
 
 from __future__ import annotations
@@ -18,12 +21,14 @@ import hashlib
 import hmac
 import random
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 
@@ -43,10 +48,35 @@ oliver ollie oscar otto pablo paolo paul pedro peter philip pierre quentin rafae
 simon søren stefan steven ted theo theodore thomas tim tom tony viktor victor walter wally werner will william willy zach zachary zack rené andré françois
 jérôme rémi aurélien gaël joël raphaël loïc andrés adrián ramón joaquín martín nicolás jesús ángel björn jörg günther jürg götz håkan åke pål ömer
 mohammed ahmed ali omar yusuf hiroshi kenji wei dmitri igor nikolai łukasz paweł stanisław tomáš jiří václav ștefan mihai seán ciarán""".split()
+# Given names that are common in further languages.
+FEMALE_WIDER = """adaeze agnieszka aisha akiko amara ananya anastasia astrid beatriz bianca brigitte bronwyn camila carmen caterina chiara chioma
+deepa dolores ekaterina farah fatou francesca freya gabriela giulia gisela gudrun heike ingeborg irina isabella joanna katarzyna lakshmi layla
+magdalena marguerite mariam mathilde meera nadia nasrin natalia natalie nathalie ngozi niamh noor parisa pilar priya sabine sakura shirin sigrid silvia
+sunita svetlana sylvie ute valentina wanda xiomara yasmin yoko zainab""".split()
+MALE_WIDER = """abdul alejandro alessandro alexei andrei anil arjun bogdan chinedu cormac declan didier diego dieter dragan emeka emre eoin erik fernando gareth
+giovanni giuseppe goran guillaume gustaf haruto hassan helmut ibrahim javier joão khalid klaus knut kofi krzysztof kwame laurent leif lorenzo magnus
+marek matteo mehmet mikhail mustafa nils olaf owen paulo piotr radu rahul rainer ravi rhys rodrigo sanjay santiago satoshi sergei sven takeshi
+thierry tiago tunde uwe vijay vladimir wolfgang yves zoran""".split()
 # Words after a name that make it the name of a thing, and before it that of a ship.
 THINGS = """prize bridge institute award medal cup trophy hall school college university library museum stadium park street road avenue
 lane square tower house foundation fund society memorial hospital airport station theatre theater church chapel scholarship lecture
-building centre center trust ship lighthouse canal dam tunnel garden gardens gallery award""".split()
+building centre center trust ship lighthouse canal dam tunnel garden gardens gallery award falls county island islands river valley mountains
+beach bay peninsula desert province district township village bank company corporation office department ministry club union association
+press railway brewery hotel restaurant orchestra band festival league championship university academy agency council committee party""".split()
+# First words of capitalised pairs that aren't given names, in texts that present a person.
+NOT_GIVEN = frozenset(
+    """New North South East West Old Upper Lower Great San Santa Saint Port Fort Mount Lake Cape The This That These Those United Main Head General Public
+National Royal Grand Central Our Your His Her My Its A An In On At By For From To Of And Or But If When While After Before Since Then Later Yesterday
+Today Tomorrow However Although Because Both All Some Many Most Each Every King Queen Prince Princess President Pope Emperor Captain Colonel Major
+Lieutenant Sergeant Bishop Cardinal Judge Senator Governor Minister Chancellor Lord Lady Baron Count Duke Earl Chief Deputy Vice Please Contact Write
+Call See Ask Letter Dear Phone Tel Fax Email Mail Address Street Road No Not Der Die Das Ein Eine Le La Les Un Une El Los Las Una Il""".split()
+)
+# Verbs of which a person is the subject, and those of which it is also the object.
+PERSON_VERBS = "met married wrote said told asked studied taught lives lived died retired resigned emigrated graduated owes argued remembered joked works worked"
+MET = "met married told asked thanked interviewed hired succeeded"
+# Titles before a name, and roles of which a name is the value.
+BEFORE_NAME = "Dr Mr Mrs Ms Miss Mx Prof Professor Herr Hr Frau Monsieur Madame Mme Mlle Señor Señora Señorita Sr Sra Srta Signor Signora Sir Dame Rev Reverend Pr"
+ROLES = "head author director editor contact owner manager secretary chair chairman president spouse parents mayor founder architect coach"
 SHIPS = "MV MS SS HMS USS RMS RV SY USNS HMAS HMCS MT MY".split()
 
 _UP = "A-ZÀ-ÖØ-ÞŁŚŻŹĆŃŠŽČĐ"
@@ -60,7 +90,7 @@ def _plain(name: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c))
 
 
-FEMALE, MALE = (sorted({*names, *map(_plain, names)}) for names in (FEMALE, MALE))
+FEMALE, MALE = (sorted({*names, *map(_plain, names)}) for names in ([*FEMALE, *FEMALE_WIDER], [*MALE, *MALE_WIDER]))
 MALE = [n for n in MALE if n not in set(FEMALE)]
 _GIVEN_SET = frozenset(FEMALE + MALE)
 _GIVEN = "(?:" + "|".join(sorted({n.capitalize() for n in _GIVEN_SET}, key=lambda n: (-len(n), n))) + ")"
@@ -110,22 +140,26 @@ NAMES = [
     re.compile(rf"(?<![\w'’.])(?<!\w-){_INITIAL}{_MIDDLE}{_S}{_FAMILY}(?![\w])"),
     re.compile(rf"(?<![\w'’])(?<!\w-){_GIVEN_UP}{_MIDDLE}{_S}{_SHOUT}(?![\w])|(?<![\w'’])(?<!\w-){_SHOUT},{_S}{_GIVEN_UP}(?![\w])"),
     # as people type it, where the text says that it is a person
-    re.compile(rf"(?<![\w'’])(?<!\w-)(?:{_GIVEN_LOW}(?:{_S}[a-z]\.?)?{_S}[{_LOW}]{{3,}}(?:-[{_LOW}]{{3,}})*|[{_LOW}]{{3,}}(?:-[{_LOW}]{{3,}})*,{_S}{_GIVEN_LOW})(?={_S}(?:lives|lived|owes|was born|works at|called))"),
+    re.compile(rf"(?<![\w'’])(?<!\w-)(?:{_GIVEN_LOW}(?:{_S}[a-z]\.?)?{_S}[{_LOW}]{{3,}}(?:-[{_LOW}]{{3,}})*|[{_LOW}]{{3,}}(?:-[{_LOW}]{{3,}})*,{_S}{_GIVEN_LOW})(?={_S}(?:{'|'.join(PERSON_VERBS.split())}|was born)\b)"),
 ]
-# a person in a place where texts present one, also with a given name that isn't known
+# a person in a place where texts present one, also with a given name that isn't known: a sign that must be there, and the pattern
+_SHAPE = rf"{_CAP}(?:-{_CAP})?{_MIDDLE}{_S}{_FAMILY}|{_FAMILY},{_S}{_CAP}{_MIDDLE}"
+_PERSON = rf"(?<![\w'’])(?<!\w-)({_SHAPE})(?![\w])"
+_VERBS = "|".join(PERSON_VERBS.split())
 PRESENTED = [
-    ("'''", re.compile(rf"^'''({_CAP}{_MIDDLE}{_S}{_FAMILY})'''\s\((?:born|b\.|né|née|nacido|nacida|geboren|\*)")),
-    ("head", re.compile(rf"\bhead\s?=\s?({_CAP}{_MIDDLE}{_S}{_FAMILY}|{_FAMILY},{_S}{_CAP}{_MIDDLE})\s*$")),
-    ("||", re.compile(rf"^\|\s?({_CAP}{_MIDDLE}{_S}{_FAMILY}|{_FAMILY},{_S}{_CAP}{_MIDDLE}) \|\| (?=[+(\d])(?!\d{{1,4}} \|\|)(?=[\d+()/. \u00a0-]{{7,}}$)")),
-    ("r", re.compile(rf"\b(?:Dr|Mr|Mrs|Prof|Herr|Hr|Monsieur|Pr)\.?{_S}({_CAP}{_MIDDLE}{_S}{_FAMILY}|{_FAMILY},{_S}{_CAP}{_MIDDLE})(?=,|\s\()")),
-    ("Frau ", re.compile(rf"\bFrau{_S}({_CAP}{_MIDDLE}{_S}{_FAMILY}|{_FAMILY},{_S}{_CAP}{_MIDDLE})(?=,|\s\()")),
-    ("Letter by ", re.compile(rf"\bLetter by ({_CAP}{_MIDDLE}{_S}{_FAMILY})(?=,)")),
-    ("I am ", re.compile(rf"\bI am ({_CAP}{_MIDDLE}{_S}{_FAMILY}), (?=.{{3,40}}\d)")),
-    ("--", re.compile(rf"--\s?({_CAP}{_MIDDLE}{_S}{_FAMILY})\s*$")),
-    ("the editor ", re.compile(rf"\bthe editor ({_CAP}{_MIDDLE}{_S}{_FAMILY})(?= can be reached|,|\s\()")),
-    ("écrire à ", re.compile(rf"\bécrire à ({_CAP}{_MIDDLE}{_S}{_FAMILY})(?=,|\s\()")),
-    ("write to ", re.compile(rf"\bwrite to ({_CAP}{_MIDDLE}{_S}{_FAMILY})(?=,|\s\()")),
+    (re.compile(rf"\b(?:{'|'.join(BEFORE_NAME.split())})\.?{_S}(?=[{_UP}])"), re.compile(rf"\b(?:{'|'.join(BEFORE_NAME.split())})\.?{_S}({_SHAPE})(?![\w])")),
+    (re.compile(r"\((?:born|b\.|née?|nacid|geb|died|d\.|\*|†)"), re.compile(rf"{_PERSON}['’]{{0,3}}\s\((?=born|b\.|née?\b|nacid[oa]|geb|died|d\.|\*|†)")),
+    (re.compile(r"[=:]"), re.compile(rf"\b(?i:{'|'.join(ROLES.split())})\s?[=:]\s?({_SHAPE})\s*(?=$|[|,;<])")),
+    (re.compile(r"--|—"), re.compile(rf"(?:--|—)\s?({_SHAPE})\s*$")),
+    (re.compile(rf"\s(?:{_VERBS}|was\sborn)\b"), re.compile(rf"{_PERSON}(?=\s(?:{_VERBS}|was\sborn)\b)")),
+    (re.compile(rf"\b(?:{'|'.join(MET.split())})\s"), re.compile(rf"\b(?:{'|'.join(MET.split())})\s({_SHAPE})(?![\w])")),
 ]
+#: Between a name and the contact that belongs to it: punctuation and up to four words in lower case.
+_BEFORE_CONTACT = re.compile(rf"{_PERSON}['’]{{0,3}}(?:\s?[,(|:;]{{1,2}})?(?:\s[{_LOW}]{{1,12}}){{0,4}}\s?[,(|:]{{0,2}}\s?$")
+_JOINED_AFTER = re.compile(rf"\s(?:and|und|et|y|e|och|&)\s({_SHAPE})(?![\w])")
+_JOINED_BEFORE = re.compile(rf"{_PERSON}\s(?:and|und|et|y|e|och|&)\s$")
+_IN_PLACE = re.compile(r"(?i:\b(?:in|at|near|from|to|of|à|en|bei|aus|nach))\s$")
+_BEFORE_PLACE = re.compile(r"\b(?:San|Santa|Santo|Saint|Sainte|St\.?|Lake|Mount|Mt\.?|Port|Fort|Cape|Isle of)\s$")
 _AFTER_THING = re.compile(rf"['’]{{0,5}}(?:{_S}{_CAP})?{_S}(?i:{'|'.join(THINGS)})(?!\w)")
 _BEFORE_SHIP = re.compile(rf"(?:\b(?:{'|'.join(SHIPS)})|\b(?i:ship|vessel|ferry|yacht|steamer))[ \u00a0]['\"]{{0,5}}$")
 _TITLES = frozenset("Dr Mr Mrs Ms Prof Rev Hon Sir St Herr Frau Monsieur Madame Box See No Vol Category File Image".split())
@@ -177,9 +211,19 @@ def _in_line(line: str) -> tuple[tuple[int, int, str], ...]:
                 if _a_person(line, *m.span()):
                     add(*m.span(), "NAME")
     for sign, pattern in PRESENTED:
-        if sign in line:
+        if sign.search(line):
             for m in pattern.finditer(line):
-                if m[1]:
+                if _presented(line, *m.span(1)):
+                    add(*m.span(1), "NAME")
+    for a, _, kind in tuple(spans):
+        if kind != "NAME":
+            m = _BEFORE_CONTACT.search(line, max(0, a - 90), a)
+            if m and _presented(line, *m.span(1)) and not _IN_PLACE.search(line, max(0, m.start(1) - 6), m.start(1)):
+                add(*m.span(1), "NAME")
+    for a, z, kind in tuple(spans):
+        if kind == "NAME":
+            for m in (_JOINED_AFTER.match(line, z), _JOINED_BEFORE.search(line, max(0, a - 60), a)):
+                if m and _presented(line, *m.span(1)):
                     add(*m.span(1), "NAME")
     return tuple(sorted(spans))
 
@@ -210,7 +254,12 @@ def _a_person(text: str, a: int, z: int) -> bool:
     words = re.findall(r"[^\W\d_]+", text[a:z])
     if any(w in _TITLES for w in words) or any(w.casefold() in THINGS for w in words[1:]):
         return False
-    return not _AFTER_THING.match(text, z) and not _BEFORE_SHIP.search(text, max(0, a - 16), a)
+    return not _AFTER_THING.match(text, z) and not _BEFORE_SHIP.search(text, max(0, a - 16), a) and not _BEFORE_PLACE.search(text, max(0, a - 9), a)
+
+
+def _presented(text: str, a: int, z: int) -> bool:
+    """Whether a capitalised pair in a place for persons may be one: it isn't a thing, and no word of it can't be part of a name."""
+    return _a_person(text, a, z) and not any(w in NOT_GIVEN for w in re.findall(r"[^\W\d_]+", text[a:z]))
 
 
 def replaced(text: str | None, with_: callable) -> str | None:
@@ -224,27 +273,71 @@ def replaced(text: str | None, with_: callable) -> str | None:
     return "".join([*out, text[at:]])
 
 
+@lru_cache(maxsize=1)
+def _alphabets() -> tuple[dict[str, tuple[str, ...]], dict[tuple[str, ...], list[str]]]:
+    """The alphabet of each letter beyond ASCII, and the letters of each: of one script and part of it (128 places, 4,096 of
+    the large scripts), in lower case (where the letter has a single one of either case) or of one category. Letters that
+    are an ASCII letter with marks belong to none."""
+    of: dict[str, tuple[str, ...]] = {}
+    letters: dict[tuple[str, ...], list[str]] = {}
+    for code in range(0x80, sys.maxunicode + 1):
+        c = chr(code)
+        if not c.isalpha() or unicodedata.normalize("NFC", c) != c or unicodedata.normalize("NFD", c)[0].isascii():
+            continue
+        low, up = c.lower(), c.upper()
+        cased = low != up and len(low) == len(up) == 1 and low.upper() == up and up.lower() == low
+        if cased and c == up:
+            continue
+        name = (unicodedata.name(c, "").split() or [f"plane {code >> 12}"])[0]
+        part = f"{code >> (12 if name in ('CJK', 'HANGUL') else 7):x}"
+        alphabet = (name, part, "cased" if cased else unicodedata.category(c))
+        of[c] = alphabet
+        letters.setdefault(alphabet, []).append(c)
+    return of, letters
+
+
 class Surrogates:
     """Keyed replacements; the same key gives the same replacements on every executor."""
 
-    VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxz"
+    VOWELS, CONSONANTS = "aeiouy", "bcdfghjklmnpqrstvwxz"
 
     def __init__(self, key: bytes):
         self.key = key
         self.letters = self._shift(self.VOWELS, "vowels") | self._shift(self.CONSONANTS, "consonants")
         self.given = {**self._shift(FEMALE, "female"), **self._shift(MALE, "male")}
+        self._shifted: dict[tuple[str, ...], dict[str, str]] = {}
+        self._digits: dict[str, dict[int, int]] = {}
 
     def _random(self, what: str) -> random.Random:
         return random.Random(hmac.new(self.key, what.encode(), hashlib.sha256).digest())
 
     def _shift(self, values, what: str) -> dict:
-        """A permutation in one cycle, so without fixed points."""
+        """A permutation in one cycle, so without fixed points where there are two values or more."""
         order = sorted(values)
         self._random(what).shuffle(order)
         return dict(zip(order, order[1:] + order[:1]))
 
+    def letter(self, c: str) -> str:
+        """A letter of the same script and case, with the same marks."""
+        low = c.lower()
+        if low in self.letters:
+            new = self.letters[low]
+            return new.upper() if c != low else new
+        first, *marks = unicodedata.normalize("NFD", c)
+        if first.isascii() and marks:
+            return unicodedata.normalize("NFC", self.letter(first) + "".join(marks))
+        of, letters = _alphabets()
+        at = c if c in of else low if len(low) == 1 and low in of and low.upper() == c else None
+        if at is None:
+            return c
+        alphabet = of[at]
+        if alphabet not in self._shifted:
+            self._shifted[alphabet] = self._shift(letters[alphabet], " ".join(alphabet))
+        new = self._shifted[alphabet][at]
+        return new if at == c else new.upper()
+
     def word(self, w: str, kept: re.Pattern | None = None) -> str:
-        """A word letter by letter; accented letters stay, so that the script is kept.
+        """A word letter by letter, so that script, case and accents are kept.
 
         Words of the list become words of the list. Others are permuted until they are neither on it nor ``kept`` (words
         that the caller leaves as they are), so that all words together are still permuted one-to-one.
@@ -253,52 +346,79 @@ class Surrogates:
             new = self.given[w.casefold()]
             return new.upper() if w.isupper() and len(w) > 1 else new.capitalize() if w[:1].isupper() else new
         while True:
-            w = "".join((x := self.letters.get(c.lower(), c) if c.isascii() else c) and (x.upper() if c.isupper() else x) for c in w)
+            w = "".join(map(self.letter, w))
             if w.casefold() not in self.given and not (kept and kept.fullmatch(w)):
                 return w
 
     def digits(self, value: str, kind: str) -> str:
         """A number with each digit permuted by its place from the left; signs, prefixes and letters of the format stay.
 
-        A leading 0 of a phone number stays, and another leading digit doesn't become 0.
+        A leading 0 of a phone number stays, and another leading digit doesn't become 0. Digits of other scripts stay in theirs.
         """
-        order = [i for i, c in enumerate(value) if c.isdigit() and c.isascii()]
+        order = [i for i, c in enumerate(value) if c.isdecimal()]
         keep = 0
         if kind == "PHONE" and value.startswith("+"):
-            keep = len(re.match(r"\+(\d{1,2})", value)[1])
-        elif kind == "PHONE" and order and value[order[0]] == "0":
+            keep = len(re.match(r"\+(\d{0,2})", value)[1])
+        elif kind == "PHONE" and order and unicodedata.decimal(value[order[0]]) == 0:
             keep = 1
         out = list(value)
         for k, i in enumerate(order):
             if k >= keep:
-                first = kind == "PHONE" and k == 0
-                out[i] = self._shift("123456789" if first else "0123456789", f"{kind} {len(order)} {k}")[value[i]]
+                what = f"{kind} {len(order)} {k}"
+                if what not in self._digits:
+                    self._digits[what] = self._shift(range(1 if kind == "PHONE" and k == 0 else 0, 10), what)
+                d = unicodedata.decimal(value[i])
+                out[i] = chr(ord(value[i]) - d + self._digits[what][d])
         return "".join(out)
 
     def __call__(self, kind: str, value: str) -> str:
+        value = unicodedata.normalize("NFC", value)
         if kind == "NAME":
-            return re.sub(r"[^\W\d_]+", lambda m: self.word(m[0]), value)
-        if kind == "EMAIL":
+            new = _LETTERS.sub(lambda m: self.word(m[0]), value)
+        elif kind == "EMAIL":
             sep = re.search(_AT, value)
-            local = re.sub(r"[^\W\d_]+", lambda m: self.word(m[0]), self.digits(value[: sep.start()], kind))
+            local = _LETTERS.sub(lambda m: self.word(m[0]), self.digits(value[: sep.start()], kind))
             host = re.split(_DOT, value[sep.end() :])[0]
-            return local + sep[0] + re.sub(r"[^\W\d_]+", lambda m: self.word(m[0]), host) + value[sep.end() + len(host) :]
-        if kind == "ADDRESS":
+            new = local + sep[0] + _LETTERS.sub(lambda m: self.word(m[0]), host) + value[sep.end() + len(host) :]
+        elif kind == "ADDRESS":
             some = re.sub(rf"(?<!\w){_CAP}(?!\w)", lambda m: m[0] if _FIXED.fullmatch(m[0]) else self.word(m[0], _FIXED), value)
-            return self.digits(some, kind)
-        return re.sub(r"[A-Z]{3,}", lambda m: self.word(m[0]), self.digits(value, kind))
+            new = self.digits(some, kind)
+        else:
+            new = re.sub(r"[A-Z]{3,}", lambda m: self.word(m[0]), self.digits(value, kind))
+        return unicodedata.normalize("NFC", new)
 
 
-def _finder(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = [(i, kind, text[a:z]) for i, text in zip(pdf["doc_id"], pdf["text"]) for a, z, kind in find(text)]
-        yield pd.DataFrame(rows, columns=["doc_id", "pii_type", "value"]).drop_duplicates()
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def found(documents: DataFrame) -> DataFrame:
-    """(doc_id, pii_type, value): each value of each document once. Null and empty texts give no rows."""
+def _detector(key: bytes):
+    def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = lru_cache(maxsize=100_000)(Surrogates(key))
+        for pdf in batches:
+            rows = [(i, kind, text[a:z], made(kind, text[a:z])) for i, text in zip(pdf["doc_id"], pdf["text"]) for a, z, kind in find(text)]
+            yield pd.DataFrame(rows, columns=["doc_id", "pii_type", "value", "surrogate"]).drop_duplicates()
+
+    return detect
+
+
+def detected(documents: DataFrame, key: bytes) -> DataFrame:
+    """(doc_id, pii_type, value, surrogate): each value of each document once, with its replacement under ``key``.
+
+    Null and empty texts give no rows, nor does an empty table; further columns are ignored.
+    """
     texts = documents.select("doc_id", "text").filter("length(text) > 0")
-    return texts.mapInPandas(_finder, "doc_id long, pii_type string, value string").distinct()
+    return texts.mapInPandas(_detector(key), "doc_id long, pii_type string, value string, surrogate string").distinct()
+
+
+def surrogate_faults(detections: DataFrame) -> DataFrame:
+    """(pii_type, surrogate, n_values, kept): surrogates that stand for more than one value of a type, or equal their value.
+
+    The check of ``detected`` over a whole table; no rows mean that distinct values stayed distinct and none was kept.
+    """
+    values = detections.select("pii_type", "value", "surrogate").distinct()
+    kept = F.max((F.col("value") == F.col("surrogate")) & F.col("value").rlike(r"[\p{L}\p{N}]"))
+    found = values.groupBy("pii_type", "surrogate").agg(F.count("*").alias("n_values"), kept.alias("kept"))
+    return found.filter((F.col("n_values") > 1) | F.col("kept"))
 
 
 def _rewriter(make):

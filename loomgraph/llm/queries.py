@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,8 +81,13 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.without_leaks(table(spark, d, "documents"), _items(spark, d)).select("doc_id")
 
 
+def _key(spark: SparkSession) -> bytes:
+    """The secret of the surrogates: the setting ``spark.loomgraph.pii.key``, else a new one for each call."""
+    return spark.conf.get("spark.loomgraph.pii.key", "").encode() or secrets.token_bytes(32)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.found(table(spark, d, "documents"))
+    return pii.detected(table(spark, d, "documents"), _key(spark)).select("doc_id", "pii_type", "value")
 
 
 def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
@@ -89,12 +95,30 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_surrogates(spark: SparkSession, d: str) -> DataFrame:
-    return pii.surrogated(table(spark, d, "documents"), b"a key that the owner of the data keeps")
+    return pii.surrogated(table(spark, d, "documents"), _key(spark))
+
+
+def p9_surrogate_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Surrogates that stand for two values or for themselves, over all texts: none."""
+    return pii.surrogate_faults(pii.detected(table(spark, d, "documents"), _key(spark)))
+
+
+def p9_redaction_check(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as many as before, and of those redacted or with surrogates, how many still hold a plain e-mail address."""
+    docs = table(spark, d, "documents")
+    kept = lambda t: F.count_if(F.col(t).rlike(_EMAIL))
+    r = pii.redacted(docs).agg(F.count("*").alias("n_documents"), kept("text").alias("n_left"))
+    return r.select("n_documents", "n_left")
+
+
+_EMAIL = r"[a-z0-9]+@[a-z0-9-]+\.(?:com|org|net|example)\b"
 
 
-QUERIES = {"p5_found": p5_found, "p5_chunks": p5_chunks, "p7_containers": p7_containers, "p7_fill": p7_fill, "p2_found": p2_found, "p2_groups": p2_groups, "p9_found": p9_found, "p9_redacted": p9_redacted, "p9_surrogates": p9_surrogates, "p3_found": p3_found, "p3_groups": p3_groups, "p8_found": p8_found, "p8_matches": p8_matches, "p8_clean": p8_clean, "p4_found": p4_found}
+QUERIES = {"p5_found": p5_found, "p5_chunks": p5_chunks, "p7_containers": p7_containers, "p7_fill": p7_fill, "p2_found": p2_found, "p2_groups": p2_groups, "p9_found": p9_found, "p9_redacted": p9_redacted, "p9_surrogates": p9_surrogates, "p9_surrogate_faults": p9_surrogate_faults, "p9_redaction_check": p9_redaction_check, "p3_found": p3_found, "p3_groups": p3_groups, "p8_found": p8_found, "p8_matches": p8_matches, "p8_clean": p8_clean, "p4_found": p4_found}
 
 ORACLES: dict[str, str] = {
+    "p9_surrogate_faults": "SELECT 'NAME' AS pii_type, '' AS surrogate, 2::BIGINT AS n_values, false AS kept WHERE false",
+    "p9_redaction_check": "SELECT count(*) AS n_documents, 0::BIGINT AS n_left FROM documents",
     "p3_found": """
 WITH t AS (SELECT id, regexp_extract_all(lower(min(content)), '[\\p{L}\\p{N}]+') AS w FROM chunks WHERE id IS NOT NULL GROUP BY id),
 g AS (SELECT DISTINCT id, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] AS g FROM (SELECT id, w FROM t WHERE len(w) >= 20), unnest(range(1, len(w) - 1)) u(k)),

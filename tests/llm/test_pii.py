@@ -44,6 +44,52 @@ def test_every_street_and_call_passes_the_quick_test():
         assert pii.CUED_PHONE.search(f"{cue} 555-1234567") and pii._CALL_SIGN.search(f"{cue} 555-1234567"), cue
 
 
+# Held-out forms: written once the rules stood, with the names that a reader would mark, and not used to change them since.
+HELD_OUT = [
+    ("Wanda Kowalczyk met Ngozi Okafor and Priya Natarajan in Rome.", ["Wanda Kowalczyk", "Ngozi Okafor", "Priya Natarajan"]),
+    ("The lighthouse was drawn by Tomasz Wolniewicz (born 3 May 1901), who also drew the pier.", ["Tomasz Wolniewicz"]),
+    ("For the keys ask Mrs Odile Ferrand, flat four.", ["Odile Ferrand"]),
+    ("After the war Dr. Imre Halasz moved to Porto.", ["Imre Halasz"]),
+    ("| director = Saoirse Kinsella", ["Saoirse Kinsella"]),
+    ("Bergström, Elsa: Letters from the north, 1922.", ["Bergström, Elsa"]),
+    ("It was signed by Q. Rasmussen and two clerks.", ["Q. Rasmussen"]),
+    ("Reach Benedikt Aumann on +49 30 1234567 after six.", ["Benedikt Aumann"]),
+    ("Haruka Shimizu studied physics in Kyoto.", ["Haruka Shimizu"]),
+    ("Her sister, Lucinda Thorne, kept the shop.", ["Lucinda Thorne"]),
+    ("The mayor, Pietro Galvani, opened the fair.", ["Pietro Galvani"]),
+    ("DANIEL OKONKWO wrote the minutes.", ["DANIEL OKONKWO"]),
+    ("peter hallworth lives near the mill.", ["peter hallworth"]),
+    ("-- Ottilie Brandauer", ["Ottilie Brandauer"]),
+    ("Contact: Fatoumata Diallo, 12 Harbour Road, Kleston.", ["Fatoumata Diallo"]),
+    ("Maria Clara Sousa married Rui Tavares in 1931.", ["Maria Clara Sousa", "Rui Tavares"]),
+    ("Professor Chukwudi Eze resigned in May.", ["Chukwudi Eze"]),
+    ("A street was named after Michael Donnelly.", ["Michael Donnelly"]),
+    ("Photographs by J. T. Marlowe hang in the hall.", ["J. T. Marlowe"]),
+    ("Herr Leopold Zwick, Postfach 1234, sells maps.", ["Leopold Zwick"]),
+    ("The goalkeeper Stefan Ilić saved twice.", ["Stefan Ilić"]),
+    ("Nkechi Obi said that the road was closed.", ["Nkechi Obi"]),
+    ("Her cousin Robert Blaine died young.", ["Robert Blaine"]),
+    ("Its composer was Aino Lehtinen.", ["Aino Lehtinen"]),
+    ("The painter Zofia Maj is buried there.", ["Zofia Maj"]),
+    ("Ask Gwendolyn Pryce (g.pryce@example.org) for a copy.", ["Gwendolyn Pryce"]),
+    # names of things and places, and pairs of capitals that are nobody
+    ("Victoria Falls lies on the Zambezi.", []), ("Santa Barbara County has two harbours.", []), ("The Thomas Edison Bridge was closed.", []),
+    ("New York, 555-1234 on the old sign.", []), ("Savings Bank, +44 20 7946 0958, opens at nine.", []), ("The ship MV Edith Larsen sank.", []),
+    ("Mill Road met the High Street here.", []), ("Deutsche Bahn said that trains run.", []), ("The Royal Society (founded 1660) met on Tuesdays.", []),
+    ("In Saint John Harbour the ice broke.", []), ("Old Town Hall, 4 Market Street, Kleston.", []), ("The Nobel Prize went to nobody.", []),
+    ("Lake Victoria and Mount Alice are far apart.", []), ("See Category Towns and File Map.", []),
+]
+
+
+def test_held_out_forms():
+    """Recall and precision of whole names off the forms of the test tables; measured 24 of 29, and 24 of 26."""
+    hit = marked = given = 0
+    for text, want in HELD_OUT:
+        got = {text[a:z] for a, z, k in pii.find(text) if k == "NAME"}
+        hit, marked, given = hit + len(got & set(want)), marked + len(want), given + len(got)
+    assert hit / marked >= 0.8 and hit / given >= 0.9
+
+
 def test_nothing_in_nothing():
     assert pii.find(None) == [] and pii.find("") == [] and pii.replaced(None, str) is None
 
@@ -84,13 +130,42 @@ def test_surrogates_of_different_values_differ():
         assert all((s("PHONE", p)[0] == "0") == (p[0] == "0") for p in phones[::50])
 
 
+def test_no_given_name_shares_its_surrogate_with_any_word():
+    """All given names, and all words that the letters of any of them lead to or come from."""
+    s = pii.Surrogates(b"key")
+    back = {v: k for k, v in s.letters.items()}
+    plain = [n for n in pii.FEMALE + pii.MALE]
+    step = lambda w, to: "".join(to.get(c, c) for c in w)
+    words = set(plain) | {step(n, s.letters) for n in plain} | {step(n, back) for n in plain} | {step(step(n, back), back) for n in plain}
+    images = {w: s.word(w) for w in words}
+    assert len(set(images.values())) == len(words) and all(w != i for w, i in images.items())
+    assert {images[w] for w in plain} == set(plain)
+
+
+@pytest.mark.parametrize("name", ["Иван Петров", "Ли Ван", "王小明", "محمد علي", "Γιώργος Σεφέρης", "김철수", "Yy Y", "Åse Øyen", "Łuc Żak"])
+def test_no_original_survives_in_any_script(name):
+    import unicodedata
+
+    for key in (b"a", b"b"):
+        new = pii.Surrogates(key)("NAME", name)
+        assert not set(name.split()) & set(new.split())
+        assert [unicodedata.name(c).split()[0] for c in unicodedata.normalize("NFC", name) if c.isalpha()] == [unicodedata.name(c).split()[0] for c in new if c.isalpha()]
+        assert [c.isupper() for c in name if c.isalpha()] == [c.isupper() for c in new if c.isalpha()]
+
+
+def test_faults_are_found_over_a_table(spark):
+    rows = [("NAME", "A B", "X"), ("NAME", "C D", "X"), ("NAME", "C D", "X"), ("PHONE", "1", "1"), ("EMAIL", "a", "b"), ("ID_NUMBER", "c", "b")]
+    got = {tuple(r) for r in pii.surrogate_faults(spark.createDataFrame(rows, "pii_type string, value string, surrogate string")).collect()}
+    assert got == {("NAME", "X", 2, False), ("PHONE", "1", 1, True)}
+
+
 def test_tables(spark):
     rows = [(1, CASES[0][0]), (1, CASES[0][0]), (2, None), (3, ""), (4, "plain words " * 50_000), (None, "Nora Balova")]
     df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, value string, pii_type string")
-    got = {tuple(r) for r in pii.found(df).collect()}
+    got = {tuple(r) for r in pii.detected(df, b"k").select("doc_id", "pii_type", "value").collect()}
     assert got == {(1, k, v) for k, v in CASES[0][1]} | {(None, "NAME", "Nora Balova")}
     red = pii.redacted(df).collect()
     assert len(red) == 6 and [r.text for r in red if r.doc_id == 2] == [None] and "[NAME]" in [r.text for r in red if r.doc_id == 1][0]
     sur = pii.surrogated(df, b"k").collect()
     assert len(sur) == 6 and all("Birskeova" not in (r.text or "") for r in sur)
-    assert pii.found(df.limit(0)).count() == 0 and pii.redacted(df.limit(0)).count() == 0
+    assert pii.detected(df.limit(0), b"k").count() == 0 and pii.redacted(df.limit(0)).count() == 0
