@@ -2,11 +2,13 @@
 
 1. A name is folded (case, accents, look-alike characters) and taken apart; titles and small words are dropped and
    common abbreviations written out. What is left are its parts, and its initials.
-2. The distinct parts of each kind of entity are sharded by pieces that survive two edits (a part cut in three keeps one
-   of its pieces whole, but for a swap across a cut), each shard is a trie, and a Levenshtein automaton that counts a swap once walks it to list all neighbours within the
-   bound. A rare part takes the spelling of its most frequent neighbour.
-3. Names whose parts are then the same in any order are one name. Short forms (initials, pet names that stand for
-   several given names, acronyms) join the one full name that they fit; where they fit several, they are left apart.
+2. The distinct parts of each kind of entity are sharded by pieces that survive the edits that are allowed (a part cut in
+   two keeps one of its pieces whole after one edit, cut in three after two, but for a swap across a cut), each shard is
+   a trie, and a Levenshtein automaton that counts a swap once walks it to list all neighbours within the bound. A part
+   that is rare beside a neighbour takes the spelling of its most frequent one.
+3. Names whose parts are then the same in any order are one name, unless their further initials differ. Short forms
+   (initials, pet names that stand for several given names, acronyms) join the one full name that they fit; where they
+   fit several, they are left apart.
 
 Only distinct parts and names are compared; no pairs of rows are made before the groups are known.
 """
@@ -16,6 +18,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,17 +30,19 @@ from loomgraph.runtime import cut
 #: Edits (insertions, deletions, substitutions, swaps of neighbours) between spellings of a part: one, or two from
 #: ``LONG`` characters on. Parts shorter than ``SHORT`` are not respelled.
 LONG, SHORT = 8, 4
-#: A part is respelled only if at most ``RARE`` names have it, or its neighbour is ``TIMES`` as frequent.
+#: A part is taken for a spelling of its neighbour only if that is ``TIMES`` as frequent, in ids or in different names (copies of a
+#: slip raise the one, spellings of one name are soon all there in the other); the first ``RARE`` that have the part aren't
+#: counted, as a share of so few says nothing. The rule is one of shares and is the same for tables of any size.
 RARE, TIMES = 2, 12
-#: Copies are ids of exactly the same name and type. Up to so many are in all pairs of their group; of more, their first id
-#: is, and it in a pair with each of the others.
+#: Copies are ids of exactly the same name and type. By default, up to so many are in all pairs of their group; of more, their
+#: first id is, and it in a pair with each of the others.
 EXPANDED = 64
 #: In the join that pairs the ids of a group, a key has so many of them on one side.
 PAIRED = 1024
 
 # Titles, small words, and what common abbreviations stand for.
 TITLES = frozenset("mr mrs ms miss dr prof professor rev reverend hon honourable sir dame lady lord st fr sr jr ii iii phd md esq".split())
-SMALL = frozenset("the of and for in at on de la le du des del der die das und et y a an off fo teh adn nad thee".split())
+SMALL = frozenset("the of and for in at on de la le du des del der die das und et y a an off".split())
 WRITTEN_OUT = dict(
     x.split(":")
     for x in """co:company corp:corporation inc:incorporated ltd:limited bros:brothers mfg:manufacturing mfr:manufacturing intl:international
@@ -57,7 +62,7 @@ claire:clara clare:clara dot:dorothy dottie:dorothy dolly:dorothy dory:dorothy d
 ned:edward ted:edward/theodore teddy:edward/theodore liz:elizabeth lizzie:elizabeth lizzy:elizabeth beth:elizabeth betty:elizabeth betsy:elizabeth eliza:elizabeth libby:elizabeth
 elsie:elizabeth frank:francis frankie:francis fran:francis/frances fred:frederick freddie:frederick freddy:frederick fritz:frederick/friedrich greg:gregory gregor:gregory
 nell:helena/eleanor lena:helena/magdalena nellie:helena/eleanor helen:helena hank:henry harry:henry/harold hal:henry/harold hughie:hugo hugh:hugo huey:hugo iggy:ignatius nacho:ignatius
-inga:ingrid inge:ingrid rena:irene rene:irene reni:irene jim:james jimmy:james jamie:james jem:james hans:johannes jan:johannes johann:johannes hannes:johannes john:johannes
+inga:ingrid inge:ingrid rena:irene rene:irene reni:irene jim:james jimmy:james jamie:james jem:james hans:johannes jan:johannes johann:johannes hannes:johannes
 jo:josephine/joanna josie:josephine josey:josephine fina:josephine kate:katherine kathy:katherine katie:katherine kat:katherine kitty:katherine kit:katherine/christopher kay:katherine len:leonard lenny:leonard
 leo:leonard leon:leonard luke:lucas luc:lucas luca:lucas maggie:margaret meg:margaret peggy:margaret greta:margaret madge:margaret margie:margaret rita:margaret daisy:margaret mary:maria marie:maria
 mia:maria mimi:maria matt:matthew mat:matthew matty:matthew nat:nathaniel nate:nathaniel nathan:nathaniel nonie:nora norah:nora ollie:oliver noll:oliver olly:oliver paul:paolo paulie:paolo pat:patricia/patrick
@@ -67,6 +72,7 @@ vicky:victoria vickie:victoria tori:victoria vic:victor/victoria/viktor vik:vikt
 yoli:yolanda lanie:yolanda zach:zachary zack:zachary zac:zachary zak:zachary""".split()
     )
 }
+KNOWN = frozenset(PET_FORMS) | {x for v in PET_FORMS.values() for x in v}
 # How kinds of entity are written.
 KINDS = {"PER": "PER", "PERSON": "PER", "ORG": "ORG", "LOC": "LOC", "MISC": "MISC"}
 _OTHER_LETTERS = str.maketrans("łøđßæœı", "lodsaoi")
@@ -79,6 +85,16 @@ def kind_of(entity_type: str | None) -> str:
     return KINDS.get(t, t)
 
 
+@lru_cache(maxsize=10_000)
+def is_small(part: str) -> bool:
+    """Whether a folded word is a small one, or one with neighbours swapped or a letter doubled."""
+    if part in SMALL:
+        return True
+    swapped = (part[:i] + part[i + 1] + part[i] + part[i + 2 :] for i in range(len(part) - 1))
+    single = (part[:i] + part[i + 1 :] for i in range(len(part) - 1) if part[i] == part[i + 1])
+    return len(part) <= 4 and any(len(x) > 1 and x in SMALL for x in (*swapped, *single))
+
+
 def fold(part: str) -> str:
     """Lower case without accents and with look-alikes (``rn`` for m, digits for letters) written one way."""
     t = unicodedata.normalize("NFKD", part.casefold().translate(_OTHER_LETTERS))
@@ -88,10 +104,10 @@ def fold(part: str) -> str:
     return t.replace("rn", "m").replace("vv", "w")
 
 
-def parts_of(name: str | None, kind: str) -> tuple[list[str], list[str], bool]:
-    """The folded parts of a name, its initials, both in the order of the name (a part before a comma goes last), and whether it had a comma."""
+def parts_of(name: str | None, kind: str) -> tuple[list[str], list[str]]:
+    """The folded parts of a name and its initials, both in the order of the name (a part before a comma goes last)."""
     if not name:
-        return [], [], False
+        return [], []
     halves = [h for h in name.split(",") if h.strip()]
     ordered = " ".join([*halves[1:], *halves[:1]])
     parts, initials = [], []
@@ -100,7 +116,7 @@ def parts_of(name: str | None, kind: str) -> tuple[list[str], list[str], bool]:
         t = t.replace("'", "").replace("’", "")
         if kind == "PER" and t in TITLES:
             continue
-        if t in SMALL and not (kind == "PER" and len(t) == 1):
+        if (t in SMALL and len(t) > 1) if kind == "PER" else is_small(t):
             continue
         if kind != "PER":
             t = fold(WRITTEN_OUT.get(t, t))
@@ -108,7 +124,7 @@ def parts_of(name: str | None, kind: str) -> tuple[list[str], list[str], bool]:
             initials.append(t)
         else:
             parts.append(t)
-    return parts, initials, len(halves) > 1
+    return parts, initials
 
 
 def edits(a: str, b: str) -> int:
@@ -214,49 +230,92 @@ def probe_keys(part: str) -> list[str]:
     return sorted(keys)
 
 
+def index_halves(part: str) -> list[str]:
+    """Keys of the two halves, and of the first as it is after a swap with the second."""
+    n, h = len(part), len(part) // 2
+    return list(dict.fromkeys([f"a.{n}.{part[:h]}", f"b.{n}.{part[h:]}", *([f"a.{n}.{part[: h - 1]}{part[h]}"] if h else [])]))
+
+
+def probe_halves(part: str) -> list[str]:
+    """Keys under which parts within one edit are indexed, a swap counting once: one half is whole, or a swap across the cut
+    leaves the first as ``index_halves`` foresees."""
+    n = len(part)
+    lengths = range(max(SHORT, n - 1), n + 2)
+    return sorted({f"a.{m}.{part[: m // 2]}" for m in lengths} | {f"b.{m}.{part[max(0, n - (m - m // 2)) :]}" for m in lengths})
+
+
+def _length(key: str) -> int:
+    return int(key.split(".")[1])
+
+
+def indexed(part: str) -> list[str]:
+    """Keys of a part: halves, under which parts meet that are allowed one edit, and thirds for two. A part of ``LONG``
+    characters meets shorter ones under halves."""
+    n = len(part)
+    return (index_halves(part) if n <= LONG else []) + (index_keys(part) if n >= LONG else [])
+
+
+def probed(part: str) -> list[str]:
+    """Keys to look up for a part: those of ``indexed`` of every part within the edits that the shorter of both allows."""
+    n = len(part)
+    halves = [k for k in probe_halves(part) if min(n, _length(k)) < LONG]
+    return halves + ([k for k in probe_keys(part) if _length(k) >= LONG] if n >= LONG else [])
+
+
 def _part_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for name, entity_type in zip(pdf["name"], pdf["entity_type"]):
             kind = kind_of(entity_type)
-            parts, initials, comma = parts_of(name, kind)
-            out.append((kind, parts, initials, comma))
-        yield pdf.assign(kind=[x[0] for x in out], parts=[x[1] for x in out], initials=[x[2] for x in out], comma=[x[3] for x in out])[["name", "entity_type", "kind", "parts", "initials", "comma"]]
+            out.append((kind, *parts_of(name, kind)))
+        yield pdf.assign(kind=[x[0] for x in out], parts=[x[1] for x in out], initials=[x[2] for x in out])[["name", "entity_type", "ids", "kind", "parts", "initials"]]
 
 
 def _keyed(keys):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(key=[[f"{k}.{x}" for x in keys(p)] for k, p in zip(pdf["kind"], pdf["part"])]).explode("key")[["kind", "part", "n", "key"]]
+            yield pdf.assign(key=[[f"{k}.{x}" for x in keys(p)] for k, p in zip(pdf["kind"], pdf["part"])]).explode("key")[["kind", "part", "n", "names", "key"]]
 
     return run
 
 
+def _rare(n: int, beside: int) -> bool:
+    return (n - RARE) * TIMES <= beside
+
+
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by shard, those that answer first: they build the trie that those that ask walk."""
-    at, trie = None, Trie()
+    at, trie, held = None, Trie(), set()
     for pdf in batches:
         out = []
-        for h, shard, asks, key, part, n in zip(pdf["_h"], pdf["_shard"], pdf["asks"], pdf["key"], pdf["part"], pdf["n"]):
+        for h, shard, asks, key, part, n in zip(pdf["_h"], pdf["_shard"], pdf["asks"], pdf["key"], pdf["part"], zip(pdf["n"], pdf["names"])):
             if (h, shard) != at:
-                at, trie = (h, shard), Trie()
+                at, trie, held = (h, shard), Trie(), set()
             if not asks:
                 trie.add(part, (key, part, n))
+                held.add(part)
+                continue
+            if not held or (len(held) == 1 and part in held):
                 continue
-            for other_key, other, m in trie.within_swaps(part, 2):
-                # a rare part may take the spelling of a more frequent one, or of the smaller of two as frequent
-                if other_key == key and other != part and (m, part) > (n, other) and (n <= RARE or n * TIMES <= m) and edits(part, other) <= min(_bound(part), _bound(other)):
-                    out.append((key.split(".")[0], part, other, m))
+            kind, of = key.split(".", 2)[:2]
+            for other_key, other, m in trie.within_swaps(part, 1 if of in "ab" else 2):
+                # the spelling of the more frequent one is taken, or of the smaller of two as frequent; a known name isn't a
+                # misspelling of another
+                if other_key != key or other == part or (m[0], part) <= (n[0], other) or (part in KNOWN and other in KNOWN):
+                    continue
+                if (_rare(n[0], m[0]) or _rare(n[1], m[1]) or _rare(m[1], n[1])) and edits(part, other) <= min(_bound(part), _bound(other)):
+                    out.append((kind, part, other, m[0]))
         yield pd.DataFrame(out, columns=["kind", "part", "other", "m"])
 
 
 def respellings(parts: DataFrame) -> DataFrame:
-    """(kind, part, spelling): the parts that take another spelling. ``parts`` has kind, part, n (names that have it)."""
+    """(kind, part, spelling): the parts that take another spelling. ``parts`` has kind, part, n and names (ids and different
+    names that have it)."""
     long = parts.filter(F.length("part") >= SHORT)
-    schema = "kind string, part string, n long, key string"
-    asking = long.mapInPandas(_keyed(probe_keys), schema)
-    answering = long.mapInPandas(_keyed(index_keys), schema)
-    found = join_shards(asking, answering, ["key"], ["part"]).select("_h", "_shard", "asks", "key", "part", "n").mapInPandas(_neighbours, "kind string, part string, other string, m long")
+    schema = "kind string, part string, n long, names long, key string"
+    asking = long.mapInPandas(_keyed(probed), schema)
+    answering = long.mapInPandas(_keyed(indexed), schema)
+    found = join_shards(asking, answering, ["key"], ["part"]).select("_h", "_shard", "asks", "key", "part", "n", "names").mapInPandas(_neighbours, "kind string, part string, other string, m long")
     best = found.groupBy("kind", "part").agg(F.max_by("other", F.struct("m", "other")).alias("to"))
     best = cut(best)
     # a spelling may itself take another: pointers (always to a more frequent or smaller part, so without circles) are
@@ -271,20 +330,20 @@ def respellings(parts: DataFrame) -> DataFrame:
 
 
 def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The key of each form, whether it is full, and the short forms that it has or is."""
+    """The key of each form, whether it is full, the short forms that it has or is, and its further initials."""
     for pdf in batches:
         rows = []
-        for form, kind, parts, initials, comma in zip(pdf["form"], pdf["kind"], pdf["parts"], pdf["initials"], pdf["comma"]):
+        for form, kind, parts, initials in zip(pdf["form"], pdf["kind"], pdf["parts"], pdf["initials"]):
             parts, initials = list(parts), list(initials)
             given = [PET_FORMS.get(p, (p,)) if kind == "PER" else (p,) for p in parts]
             if not parts and not initials:
                 continue
             short: list[str] = []
-            full = True
+            full, more = True, "".join(initials)
             if kind == "PER":
                 formal = [g[0] for g in given]
                 if len(parts) == 1 and initials:
-                    full, short = False, [f"{parts[0]}/i{initials[0]}"]
+                    full, short, more = False, [f"{parts[0]}/i{initials[0]}"], more[1:]
                 elif len(parts) >= 2 and any(len(g) > 1 for g in given):
                     i = next(i for i, g in enumerate(given) if len(g) > 1)
                     full, short = False, [f"{' '.join(sorted(formal[:i] + formal[i + 1 :]))}/p{parts[i]}"]
@@ -294,7 +353,7 @@ def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         if len(formal) == 2:
                             short.append(f"{rest}/i{g[0]}")
                         short += [f"{rest}/p{pet}" for pet, of in PET_FORMS.items() if len(of) > 1 and g in of] if rest else []
-                key = " ".join(sorted(formal)) if full else short[0]
+                key = " ".join(sorted(formal)) if full and parts else short[0] if short else f"/i{more}"
             else:
                 key = " ".join(sorted(parts))
                 if len(parts) == 2 and kind == "ORG" and min(map(len, parts)) <= 5:
@@ -304,8 +363,21 @@ def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     short, full = [f"{rest}/a{acronym}"], False
                 elif len(parts) >= 3:
                     short = [f"{p}/a{''.join(q[0] for j, q in enumerate(parts) if j != i)}" for i, p in enumerate(parts)]
-            rows.append((form, kind, key, full, short))
-        yield pd.DataFrame(rows, columns=["form", "kind", "key", "full", "short"])
+            rows.append((form, kind, key, full, short, more))
+        yield pd.DataFrame(rows, columns=["form", "kind", "key", "full", "short", "more"])
+
+
+def _told_apart(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` (kind, ``by``, more) with ``group``: ``by``, and the further initials behind it where those of ``by`` differ.
+
+    ``only`` are the further initials of the group: those of all of it, if there are any and they agree.
+    """
+    some = F.nullif("more", F.lit(""))
+    seen = rows.groupBy("kind", by).agg(F.min(some).alias("_low"), F.max(some).alias("_high"))
+    agree = F.coalesce(F.col("_low") == F.col("_high"), F.lit(True))
+    at = rows.join(seen, ["kind", by])
+    group = F.when(agree | (F.col("more") == ""), F.col(by)).otherwise(F.concat(by, F.lit("+"), "more"))
+    return at.withColumn("group", group).withColumn("only", F.when(agree, F.coalesce("_low", F.lit(""))).otherwise(F.col("more"))).drop("_low", "_high")
 
 
 def same_entities(entities: DataFrame) -> DataFrame:
@@ -317,36 +389,42 @@ def same_entities(entities: DataFrame) -> DataFrame:
     no rows, repeated rows count once and further columns are ignored.
     """
     rows = entities.select("id", "name", "entity_type").filter("id IS NOT NULL AND name IS NOT NULL").distinct()
-    names = rows.select("name", "entity_type").distinct()
-    taken = names.mapInPandas(_part_rows, "name string, entity_type string, kind string, parts array<string>, initials array<string>, comma boolean")
-    taken = cut(taken.withColumn("form", F.sha2(F.to_json(F.struct("kind", "parts", "initials", "comma")), 256)))
-    forms = taken.dropDuplicates(["form"]).select("form", "kind", "parts", "initials", "comma")
-    at = forms.select("form", "kind", "initials", "comma", F.posexplode_outer("parts").alias("i", "part"))
-    counts = cut(at.filter("part IS NOT NULL").groupBy("kind", "part").agg(F.count("*").alias("n")))
+    names = rows.groupBy("name", "entity_type").agg(F.count("*").alias("ids"))
+    taken = names.mapInPandas(_part_rows, "name string, entity_type string, ids long, kind string, parts array<string>, initials array<string>")
+    taken = cut(taken.withColumn("form", F.sha2(F.to_json(F.struct("kind", "parts", "initials")), 256)))
+    forms = taken.dropDuplicates(["form"]).select("form", "kind", "parts", "initials")
+    at = forms.select("form", "kind", "initials", F.posexplode_outer("parts").alias("i", "part"))
+    counts = cut(taken.select("kind", "ids", F.explode("parts").alias("part")).groupBy("kind", "part").agg(F.sum("ids").alias("n"), F.count("*").alias("names")))
     respelled = at.join(respellings(counts), ["kind", "part"], "left").withColumn("part", F.coalesce("spelling", "part"))
-    whole = respelled.groupBy("form", "kind", "comma").agg(
+    whole = respelled.groupBy("form", "kind").agg(
         F.first("initials").alias("initials"), F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("i", "part")))).alias("p")
     )
-    whole = whole.select("form", "kind", "comma", "initials", F.transform("p", lambda x: x["part"]).alias("parts"))
-    keyed = cut(whole.mapInPandas(_forms, "form string, kind string, key string, full boolean, short array<string>"))
-    # a short form joins the full name that it fits, if there is just one
-    offers = keyed.filter("full").select("kind", "key", F.explode("short").alias("s")).distinct()
-    single = offers.groupBy("kind", "s").agg(F.min("key").alias("to"), F.max("key").alias("other")).filter(F.col("to") == F.col("other"))
-    wants = keyed.filter("NOT full").select("form", "kind", "key", F.element_at("short", 1).alias("s"))
-    joined = wants.join(single, ["kind", "s"], "left").select("form", "kind", F.coalesce("to", "key").alias("group"))
-    groups = keyed.filter("full").select("form", "kind", F.col("key").alias("group")).unionByName(joined)
+    whole = whole.select("form", "kind", "initials", F.transform("p", lambda x: x["part"]).alias("parts"))
+    keyed = cut(whole.mapInPandas(_forms, "form string, kind string, key string, full boolean, short array<string>, more string"))
+    whole = _told_apart(keyed.filter("full"), "key")
+    # a short form joins the full name that it fits, if there is just one: of those with its further initials, else of those without any
+    offers = whole.select("kind", "group", "only", F.explode("short").alias("s")).groupBy("kind", "s", "only").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+    offers = offers.groupBy("kind", "s").agg(F.collect_list(F.struct("only", "low", "high")).alias("offers"))
+    wants = keyed.filter("NOT full").select("form", "kind", "key", "more", F.element_at("short", 1).alias("s")).join(offers, ["kind", "s"], "left")
+    same = F.filter("offers", lambda o: (F.col("more") == "") | (o["only"] == F.col("more")))
+    fitting = F.when(F.size(same) > 0, same).otherwise(F.filter("offers", lambda o: o["only"] == ""))
+    one = F.array_min(F.transform(fitting, lambda o: o["low"])) == F.array_max(F.transform(fitting, lambda o: o["high"]))
+    wants = cut(wants.select("form", "kind", "key", "more", F.when(one, F.array_min(F.transform(fitting, lambda o: o["low"]))).alias("to")))
+    alone = _told_apart(wants.filter("to IS NULL"), "key")
+    groups = whole.select("form", "kind", "group").unionByName(wants.filter("to IS NOT NULL").select("form", "kind", F.col("to").alias("group"))).unionByName(alone.select("form", "kind", "group"))
     by_name = taken.select("name", "entity_type", "form").join(groups, "form").select("name", "entity_type", "kind", "group")
     found = rows.join(by_name, [rows["name"] == by_name["name"], rows["entity_type"].eqNullSafe(by_name["entity_type"])])
     return found.select("id", "kind", "group", F.to_json(F.struct(rows["name"], rows["entity_type"])).alias("spelling")).distinct()
 
 
-def same_pairs(groups: DataFrame) -> DataFrame:
+def same_pairs(groups: DataFrame, expanded: int | None = EXPANDED) -> DataFrame:
     """(id_a, id_b): pairs of ids of one group, the smaller first.
 
-    All pairs of ids of different spellings, and of up to ``EXPANDED`` copies (ids of one spelling). More copies than
-    that appear as their smallest id, and that in a pair with each of the others, so that no link is lost.
+    All pairs of ids of different spellings, and of up to ``expanded`` copies (ids of one spelling). More copies than
+    that appear as their smallest id, and that in a pair with each of the others, so that no link is lost. With None,
+    all pairs are given, however many copies there are.
     """
-    copies = groups.groupBy("kind", "group", "spelling").agg(F.countDistinct("id").alias("n"), F.min("id").alias("low")).filter(F.col("n") > EXPANDED).drop("n")
+    copies = groups.groupBy("kind", "group", "spelling").agg(F.countDistinct("id").alias("n"), F.min("id").alias("low")).filter(F.lit(False) if expanded is None else F.col("n") > expanded).drop("n")
     marked = cut(groups.join(copies, ["kind", "group", "spelling"], "left").select("kind", "group", "id", "low"))
     members = marked.filter("low IS NULL OR id = low").select("kind", "group", "id").distinct()
     sizes = members.groupBy("kind", "group").agg(F.ceil(F.count("*") / PAIRED).alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")

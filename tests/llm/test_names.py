@@ -51,6 +51,18 @@ def test_keys_bring_all_neighbours_together():
         assert set(names.probe_keys(a)) & set(names.index_keys(b)), (a, b)
 
 
+def test_keys_in_use_bring_all_allowed_neighbours_together():
+    r = random.Random(4)
+    words = sorted({"".join(r.choice("abc") for _ in range(r.randint(4, 11))) for _ in range(1500)})
+    met = 0
+    for w in words[::10]:
+        for x in words:
+            if names.edits(w, x) <= min(names._bound(w), names._bound(x)):
+                met += 1
+                assert set(names.probed(w)) & set(names.indexed(x)), (w, x)
+    assert met > 500
+
+
 def test_edits_count_a_swap_once():
     assert names.edits("kahterine", "katherine") == 1 and names.edits("abc", "abc") == 0 and names.edits("", "ab") == 2
 
@@ -123,3 +135,69 @@ def test_only_exact_copies_of_a_large_group_are_a_star(spark, monkeypatch):
     assert len(pairs([("Nora Lanarare", "PER")] * 40 + [("Lanarare, Nora", "PER")] * 40)) == 80 * 79 // 2
     got = set(pairs([("Nora Lanarare", "PER")] * 70 + [("Lanarare, Nora", None if i else "PER") for i in range(2)] + [("Nora Lanarare", "person")]))
     assert got == {("000", f"{i:03}") for i in [*range(1, 71), 72]} | {("070", "072")}
+
+
+def test_further_initials_tell_apart(spark):
+    rows = [("John R. Smithson", "PER"), ("John K. Smithson", "PER"), ("J. R. Smithson", "PER"), ("J. K. Smithson", "PER"), ("John Smithson", "PER"), ("Smithson, J. R.", "PER"), ("J. Smithson", "PER")]
+    assert groups(spark, rows) == [[0, 2, 5], [1, 3], [4], [6]]
+    assert groups(spark, [("J. R. Smithson", "PER"), ("J. K. Smithson", "PER"), ("A. B.", "PER"), ("A. C.", "PER")]) == [[0], [1], [2], [3]]
+    assert groups(spark, [("John Smithson", "PER"), ("John R. Smithson", "PER"), ("J. R. Smithson", "PER")]) == [[0, 1, 2]]
+
+
+def test_john_and_johannes_differ(spark):
+    assert groups(spark, [("John Smithson", "PER"), ("Johannes Smithson", "PER")]) == [[0], [1]]
+
+
+def test_small_words_with_slips():
+    assert all(map(names.is_small, ["the", "teh", "thee", "andd", "fo", "adn", "off"]))
+    assert not any(map(names.is_small, ["fort", "hand", "form", "tree", "e", "o"]))
+
+
+def test_all_pairs_of_copies_on_demand(spark):
+    df = spark.createDataFrame([(f"{i:03}", "Nora Lanarare", "PER", None, "k", 1) for i in range(70)] + [("900", "Lanarare, Nora", "PER", None, "k", 1)], SCHEMA)
+    got = [tuple(r) for r in names.same_pairs(names.same_entities(df), expanded=None).collect()]
+    ids = [f"{i:03}" for i in range(70)] + ["900"]
+    assert len(got) == len(set(got)) and set(got) == set(itertools.combinations(ids, 2))
+
+
+def _spellings(entities, rows, seed):
+    """``rows`` spellings of each of ``entities``: a third with a slip in one part, some in another order or with an initial."""
+    r = random.Random(seed)
+    out = []
+    for e, (given, family) in enumerate(entities):
+        for _ in range(rows):
+            g, f = given, family
+            if r.random() < 0.33:
+                w = list(f)
+                i, what = r.randrange(1, len(w) - 1), r.randrange(4)
+                if what == 0:
+                    w[i] = r.choice("aeiounrst")
+                elif what == 1:
+                    w.insert(i, r.choice("aeiounrst"))
+                elif what == 2:
+                    del w[i]
+                else:
+                    w[i], w[i + 1] = w[i + 1], w[i]
+                f = "".join(w)
+            out.append((e, r.choice([f"{g} {f}", f"{g} {f}", f"{f}, {g}", f"Dr. {g} {f}", f"{g.upper()} {f.upper()}", f"{g} {f}."])))
+    return out
+
+
+def test_recall_does_not_depend_on_size(spark):
+    """Pairs found of those true, and true of those found, for 12 and for 240 spellings of each of 40 persons."""
+    r = random.Random(5)
+    syllables = "bra dul fen gor hul jo klar lis mon nur pel ris skar tov vun wel".split()
+    people = [(g, "".join(r.sample(syllables, 4)).capitalize()) for g in ("Edith", "Oliver", "Agnes", "Hugo") for _ in range(10)]
+    for rows in (12, 240):
+        data = _spellings(people, rows, rows)
+        df = spark.createDataFrame([(str(i), n, "PER", None, "k", 1) for i, (_, n) in enumerate(data)], SCHEMA)
+        size, inside = {}, {}
+        for x in names.same_entities(df).select("id", "group").collect():
+            e = data[int(x.id)][0]
+            size[x.group] = size.get(x.group, 0) + 1
+            inside[x.group, e] = inside.get((x.group, e), 0) + 1
+        true = len(people) * rows * (rows - 1) // 2
+        both = sum(n * (n - 1) // 2 for n in inside.values())
+        found = sum(n * (n - 1) // 2 for n in size.values())
+        print(rows, both / true, both / found)
+        assert both >= 0.95 * true and both >= 0.99 * found, (rows, both / true, both / found)
