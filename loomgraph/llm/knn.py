@@ -22,19 +22,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.runtime import broadcast_if_small, cut
+from loomgraph.operators.skew import fragment_replicate_join, pack
+from loomgraph.runtime import cut, parallelism, small
 
-#: Vectors that an anchor is planned for. More than ``MOST_ANCHORS`` are not fitted; cells then grow.
+#: Vectors that an anchor is planned for. By default, more than ``MOST_ANCHORS`` are not fitted; cells then hold more vectors,
+#: and are divided into more units, but are searched all the same.
 PER_ANCHOR, MOST_ANCHORS = 32, 65_536
-#: Anchors are fitted on so many vectors each, chosen by a hash of the id: at most 262,144 vectors, or 64 MB.
+#: Anchors are fitted on so many different vectors each, chosen by a hash of the vector: 262,144 planned, and 524,288 at most
+#: (134 MB of 64 values).
 SAMPLED = 4
+#: Vectors of the sample by which the queries of each cell are estimated.
+ESTIMATED = 50_000
 #: Anchors nearer to each other than this share a cell, however many vectors it is planned for.
 ALIKE = 0.8
 #: Coarse anchors whose fine ones are looked at, and cells that a vector asks in: those with an anchor whose cosine
 #: is less than ``MARGIN`` below the best.
 COARSE, PROBES, MARGIN = 6, 5, 0.15
-#: A cell planned to hold more vectors is a square of units, each with so many vectors and so many queries.
-BLOCK = 20_000
+#: A cell planned to hold more vectors is a square of units, each with so many vectors and so many queries; so is one whose work
+#: is more than a ``SHARES``-th of a task's, down to units of ``LEAST`` vectors. A row costs as much as ``ROW`` comparisons.
+BLOCK, LEAST, SHARES, ROW = 20_000, 512, 2, 300
+#: Rows planned for a task at most.
+TASK_ROWS = 200_000
 #: Rows that the router sends at once, about.
 SENT = 100_000
 PROJECTIONS, THRESHOLD = 16, 10
@@ -166,7 +174,21 @@ def _unit(x: np.ndarray, dtype: type) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(dtype)
 
 
-def _router(cells: Cells, sides: np.ndarray, dim: int):
+def plan_units(answers: np.ndarray, asks: np.ndarray, tasks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sides of the cells' squares, and the task of each unit, for cells with so many vectors and queries each.
+
+    Work is the number of comparisons. A cell with more than its share is divided until no unit has more, so that the
+    longest task doesn't grow with a dense cloud; units are bin-packed to tasks, the largest first.
+    """
+    work = answers * asks + ROW * (answers + asks)
+    share = max(1.0, work.sum() / (tasks * SHARES))
+    by_work = np.minimum(np.ceil(np.sqrt(work / share)), np.ceil(np.maximum(answers, asks) / LEAST))
+    sides = np.maximum(1, np.maximum(by_work, np.ceil(np.maximum(answers, asks) / BLOCK))).astype(np.int64)
+    units = np.repeat(work / (sides * sides), sides * sides)
+    return sides, np.array(pack([int(w) + 1 for w in units], tasks), np.int32)
+
+
+def _router(cells: Cells, sides: np.ndarray, dim: int, task_of: np.ndarray | None = None):
     """Sends each vector to its cells.
 
     A cell planned to hold too much is a square of units, ``side`` by ``side``: as data a vector goes to one row of
@@ -174,6 +196,7 @@ def _router(cells: Cells, sides: np.ndarray, dim: int):
     every vector of a cell in exactly one unit and no unit holds more than a block of either.
     """
     first = np.concatenate([[0], np.cumsum(sides * sides)])
+    task_of = np.zeros(first[-1], np.int32) if task_of is None else task_of
 
     def send(b: pa.RecordBatch, home: np.ndarray, asked: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
         row, j = np.nonzero(asked >= 0)
@@ -188,8 +211,9 @@ def _router(cells: Cells, sides: np.ndarray, dim: int):
         other = di != (h[drow] // dside) % dside
         drow, dunit = drow[other], (first[dcell] + (h[drow] % dside) * dside + di)[other]
         taken = b.select(["id", "embedding"]).take(pa.array(np.concatenate([row, drow])))
-        columns = [pa.array(np.concatenate(x)) for x in ([unit.astype(np.int32), dunit.astype(np.int32)], [answers, np.ones(len(drow), bool)], [np.ones(len(row), bool), np.zeros(len(drow), bool)])]
-        return pa.RecordBatch.from_arrays([*columns, *taken.columns], ["cell", "answers", "asks", "id", "embedding"])
+        units = np.concatenate([unit, dunit])
+        columns = [pa.array(x) for x in (task_of[units], units.astype(np.int32), np.concatenate([answers, np.ones(len(drow), bool)]), np.concatenate([np.ones(len(row), bool), np.zeros(len(drow), bool)]))]
+        return pa.RecordBatch.from_arrays([*columns, *taken.columns], ["task", "cell", "answers", "asks", "id", "embedding"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,11 +234,11 @@ def _times(row: np.ndarray, cell: np.ndarray, times: np.ndarray) -> tuple[np.nda
     return np.repeat(row, times), np.repeat(cell, times), np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - times, times)
 
 
-def _collisions(x: np.ndarray, answers: np.ndarray, asks: np.ndarray, k: int, directions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _collisions(x: np.ndarray, answers: np.ndarray, asks: np.ndarray, k: int, directions: np.ndarray, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """For each row of a cell's unit vectors that asks: positions (-1: none) and cosines of the k most similar rows that answer.
 
     Candidates come from collision counts in query-centred windows; cosines of all that are verified are in double
-    precision.
+    precision. With ``exact``, or where a cell holds hardly more than k, all of it is compared.
     """
     data = np.flatnonzero(answers)
     n, m = len(x), len(data)
@@ -232,7 +256,7 @@ def _collisions(x: np.ndarray, answers: np.ndarray, asks: np.ndarray, k: int, di
     most = WHOLE * min(1.0, of.std(axis=0).mean() / sd)
     pending, width = np.flatnonzero(asks), FIRST_WIDTH
     while len(pending):
-        whole = width > most or m <= 4 * k
+        whole = exact or width > most or m <= 4 * k
         rest = []
         step = max(1, 1_000_000 // m)
         for i in range(0, len(pending), step):
@@ -280,7 +304,7 @@ def _collisions(x: np.ndarray, answers: np.ndarray, asks: np.ndarray, k: int, di
     return out, cos
 
 
-def _asker(k: int, dim: int, seed: int):
+def _asker(k: int, dim: int, seed: int, exact: bool):
     """Runs the cells of a partition that is sorted by cell; gives ids and cosines of each query's best in the cell."""
     directions = np.random.default_rng(seed).standard_normal((dim, PROJECTIONS)) / np.sqrt(dim)
 
@@ -292,7 +316,7 @@ def _asker(k: int, dim: int, seed: int):
         by = pc.array_sort_indices(ids).to_numpy()
         ids, x = ids.take(pa.array(by)), x[by]
         answers, asks = (t[c].to_numpy(zero_copy_only=False)[by] for c in ("answers", "asks"))
-        near, cos = _collisions(x, answers, asks, k, directions)
+        near, cos = _collisions(x, answers, asks, k, directions, exact)
         ids_out, near, cos = ids.filter(pa.array(asks)), near[asks], cos[asks]
         there = near >= 0
         n = there.sum(axis=1)
@@ -319,7 +343,12 @@ def _asker(k: int, dim: int, seed: int):
     return ask
 
 
-def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int = 64, seed: int = 20240601) -> DataFrame:
+def _at(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with a table of one row a key: broadcast if that is small, else in shards, as one key may have most rows."""
+    return rows.join(F.broadcast(found), keys) if small(found, 50_000) else fragment_replicate_join(rows, found, keys, by=["id"])
+
+
+def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int = 64, seed: int = 20240601, exact: bool = False, most_anchors: int = MOST_ANCHORS) -> DataFrame:
     """(id, near, cos): for every usable vector, the ids of the k others with the highest cosine, best first.
 
     A vector without ``dim`` finite values, or all zero, neither asks nor answers; null ids are left out. Rows
@@ -327,25 +356,35 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int =
     only the first k + 1 take part in the search, and the others get the first k of the group, which are their
     nearest. With fewer than k other vectors the lists are shorter; an empty table gives no rows. Ties go to the
     smaller id within a cell. Cosines are in double precision. Further columns are ignored.
+
+    With ``exact``, all vectors are one cell, whose units compare every vector with every other: the work grows with the
+    square of their number, and nothing is missed. ``most_anchors`` bounds what is fitted at the driver, ``SAMPLED``
+    vectors an anchor (twice as many at most).
     """
     spark = df.sparkSession
     source = df.select(F.col(id_col).alias("name"), F.col(vector_col).cast("array<float>").alias("embedding")).filter(F.col("name").isNotNull() & usable(F.col("embedding"), dim))
     vectors = source.select(pack_id(F.col("name")).alias("id"), "embedding", F.xxhash64("embedding").alias("h"))
     rows = max(1, df.count())
-    anchors = min(MOST_ANCHORS, max(1, rows // PER_ANCHOR))
+    anchors = 1 if exact else min(most_anchors, max(1, rows // PER_ANCHOR))
     share = min(1.0, max(4096, SAMPLED * anchors) / rows)
-    picked = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1)).select("embedding").limit(2 * SAMPLED * MOST_ANCHORS).toArrow()
+    # copies share a hash and count once, so that the sample has about as many rows as planned; the same ones in every run
+    chosen = vectors.filter(F.pmod("h", F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1)).select("h", "embedding").dropDuplicates(["h"])
+    picked = chosen.orderBy("h").limit(2 * max(4096, SAMPLED * anchors)).select("embedding").toArrow()
     if not picked.num_rows:
         return spark.createDataFrame([], "id string, near array<string>, cos array<double>")
     sample = _unit(_matrix(picked["embedding"], dim), np.float32)
     sample = sample[np.random.default_rng(seed).permutation(len(sample))]
-    cells = Cells(sample, min(anchors, len(sample)), 1 / share)
-    sides = np.maximum(1, np.ceil(cells.load / BLOCK)).astype(np.int64)
+    cells = Cells(sample, min(anchors, len(sample)), rows / len(sample))
+    asked = cells.of(sample[:ESTIMATED])[1]
+    asks = np.bincount(asked[asked >= 0], minlength=len(cells.load)) * (rows / min(len(sample), ESTIMATED))
+    tasks = max(parallelism(spark), int(np.ceil(asks.sum() / TASK_ROWS)))
+    sides, task_of = plan_units(cells.load, np.maximum(asks, cells.load), tasks)
 
     copies = W.partitionBy("h", "embedding").orderBy("id")
     kept = vectors.withColumn("r", F.dense_rank().over(copies)).filter(F.col("r") <= k + 1).groupBy("h", "embedding", "id").agg(F.first("r").alias("r"))
-    routed = kept.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(2**31)).alias("h")).mapInArrow(_router(cells, sides, dim), "cell int, answers boolean, asks boolean, id binary, embedding array<float>")
-    asked = routed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_asker(k, dim, seed), "id binary, near array<binary>, cos array<double>")
+    schema = "task int, cell int, answers boolean, asks boolean, id binary, embedding array<float>"
+    routed = kept.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(2**31)).alias("h")).mapInArrow(_router(cells, sides, dim, task_of), schema)
+    asked = routed.repartitionById(tasks, "task").sortWithinPartitions("cell").mapInArrow(_asker(k, dim, seed, exact), "id binary, near array<binary>, cos array<double>")
     scored = F.transform(F.arrays_zip("near", "cos"), lambda x: F.struct((-x["cos"]).alias("d"), x["near"].alias("near")))
     merged = asked.select("id", scored.alias("s")).groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("s"))), 1, k).alias("s"))
     found = merged.select("id", F.transform("s", lambda x: x["near"]).alias("near"), F.transform("s", lambda x: -x["d"]).alias("cos"))
@@ -353,9 +392,9 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int =
     # vectors with more copies than take part: their groups are found by a hash, map-side combined
     hot = cut(vectors.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > k + 1).select("h"))
     if hot.take(1):
-        some = vectors.join(broadcast_if_small(hot, 50_000), "h")
-        firsts = some.withColumn("r", F.dense_rank().over(copies)).filter(F.col("r") <= k + 1).groupBy("h", "embedding").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-        more = some.join(broadcast_if_small(cut(firsts), 50_000), ["h", "embedding"]).filter(~F.array_contains("ids", F.col("id")))
+        some = _at(vectors, hot, ["h"])
+        firsts = cut(some.withColumn("r", F.dense_rank().over(copies)).filter(F.col("r") <= k + 1).groupBy("h", "embedding").agg(F.array_sort(F.collect_set("id")).alias("ids")))
+        more = _at(some, firsts, ["h", "embedding"]).filter(~F.array_contains("ids", F.col("id")))
         rest = more.select("id", F.slice("ids", 1, k).alias("near"), F.array_repeat(F.lit(1.0), k).alias("cos")).distinct()
         found = found.unionByName(rest)
     return found.select(unpack_id(F.col("id")).alias("id"), F.transform("near", unpack_id).alias("near"), "cos")

@@ -88,3 +88,38 @@ def test_ids_survive_packing(spark):
     from pyspark.sql import functions as F
 
     assert [r[0] for r in df.select(knn.unpack_id(knn.pack_id(F.col("id")))).collect()] == ids
+
+
+def test_exact_mode_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK", 60)
+    r = np.random.default_rng(9)
+    x = np.concatenate([c + 0.6 * r.standard_normal((70, 64)) for c in r.standard_normal((4, 64))]).astype(np.float32)
+    df = table(spark, [(f"{i:04}", v) for i, v in enumerate(x)])
+    got = {q.id: list(q.near) for q in knn.nearest(df, "id", "embedding", exact=True).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    assert got == {f"{i:04}": [f"{j:04}" for j in np.argsort(-row)[:5]] for i, row in enumerate(s)}
+
+
+def test_fewer_anchors_lose_nothing_much(spark):
+    """A bound on anchors makes cells larger, not answers fewer."""
+    r = np.random.default_rng(10)
+    x = np.concatenate([c + 0.3 * r.standard_normal((40, 64)) for c in r.standard_normal((40, 64))])
+    df = table(spark, [(f"{i:05}", v) for i, v in enumerate(x)])
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = np.argsort(-s, axis=1)[:, :5]
+    got = {q.id: set(q.near) for q in knn.nearest(df, "id", "embedding", most_anchors=4).collect()}
+    assert sum(len(got[f"{i:05}"] & {f"{j:05}" for j in w}) for i, w in enumerate(want)) >= 0.95 * want.size
+
+
+def test_a_dense_cell_is_divided_among_tasks():
+    answers = np.array([15_000.0] + [40.0] * 500)
+    sides, task_of = knn.plan_units(answers, answers * 3, 12)
+    work = answers * answers * 3 + knn.ROW * answers * 4
+    load = np.zeros(12)
+    np.add.at(load, task_of, np.repeat(work / sides**2, sides**2))
+    assert len(task_of) == (sides**2).sum() and load.max() <= 1.5 * work.sum() / 12 and sides[1:].max() == 1
