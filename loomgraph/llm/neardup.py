@@ -31,7 +31,9 @@ BANDS, DEPTH = 20, 3
 #: At similarity 0.7, 19.2 of the bits differ, with a standard deviation of 4; of unrelated texts, 64.
 BITS, RADIUS = 128, 36
 FAN = 8
-#: All pairs of a class of copies are given if it has at most so many ids, else those of its first id with the others.
+#: Ids of candidates are broadcast up to this many (of about 60 bytes), to leave all other texts where they are.
+BROADCAST_IDS = 200_000
+#: By default, all pairs of a class of copies are given if it has at most so many ids, else those of its first id with the others.
 EXPANDED = 20
 
 
@@ -234,26 +236,29 @@ class NearDuplicates:
         met = shards.select("_h", "_shard", "asks", "answers", "c", "print").mapInPandas(_joiner, "a long, b long").distinct()
         names = classes.select(F.xxhash64("class").alias("class"), "name")
         met = met.join(names.select(F.col("class").alias("a"), F.col("name").alias("na")), "a").join(names.select(F.col("class").alias("b"), F.col("name").alias("nb")), "b")
-        near = met.select(F.col("na").alias("a"), F.col("nb").alias("b"))
-        text = texts.groupBy("id").agg(F.min_by("text", F.md5("text")).alias("text"))
+        near = cut(met.select(F.col("na").alias("a"), F.col("nb").alias("b")))
+        # of all texts, only those of candidates travel
+        wanted = broadcast_if_small(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), BROADCAST_IDS)
+        text = texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min_by("text", F.md5("text")).alias("text"))
         with_text = near.join(text.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         self.pairs = with_text.select("a", "b", "text_a", "text_b").mapInPandas(_similar(words, least), "a string, b string, similarity double")
 
-    def id_pairs(self) -> DataFrame:
+    def id_pairs(self, expanded: int | None = EXPANDED) -> DataFrame:
         """(id_a, id_b): the pairs, smaller id first, between ids of the classes.
 
-        Members of a class of at most ``EXPANDED`` ids each appear in all pairs of it. A larger class of copies appears
-        as its first id, and that in a pair with each of its copies, so that no link between texts is lost.
+        Members of a class of at most ``expanded`` ids each appear in all pairs of it. A larger class of copies appears
+        as its first id, and that in a pair with each of its copies, so that no link between texts is lost. With None,
+        every class is given in full.
         """
         pairs = cut(self.pairs.select("a", "b"))
-        few = self.members.filter(F.col("n") <= EXPANDED).groupBy("class").agg(F.collect_set("id").alias("ids"))
-        few = broadcast_if_small(cut(few), 20_000)
+        in_full = F.lit(True) if expanded is None else F.col("n") <= expanded
+        # members are joined one by one, so that no class is gathered in a row
+        few = self.members.filter(in_full).select("class", "id")
         wide = pairs
         for c in "ab":
-            wide = wide.join(few.select(F.col("class").alias(c), F.col("ids").alias(f"ids_{c}")), c, "left")
-        of = lambda c: F.coalesce(f"ids_{c}", F.array(c))
-        between = wide.select(F.explode(of("a")).alias("a"), of("b").alias("bs")).select("a", F.explode("bs").alias("b"))
-        inside = few.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b"))
-        star = self.members.filter(F.col("n") > EXPANDED).select(F.col("class").alias("a"), F.col("id").alias("b"))
+            wide = wide.join(few.select(F.col("class").alias(c), F.col("id").alias(f"id_{c}")), c, "left")
+        between = wide.select(F.coalesce("id_a", "a").alias("a"), F.coalesce("id_b", "b").alias("b"))
+        inside = few.select("class", F.col("id").alias("a")).join(few.select("class", F.col("id").alias("b")), "class").filter("a < b").select("a", "b")
+        star = self.members.filter(~in_full).select(F.col("class").alias("a"), F.col("id").alias("b"))
         every = between.unionByName(inside).unionByName(star).filter("a <> b")
         return every.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()

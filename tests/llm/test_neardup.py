@@ -50,6 +50,16 @@ def test_large_class_of_copies_keeps_every_link(spark):
     assert got == {("000", f"{i:03}") for i in range(1, 30)} | {("000", "zzz")}
 
 
+def test_every_class_in_full_on_demand(spark):
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu "
+    texts = [(f"{i:03}", text + "nu") for i in range(30)] + [("yyy", text + "xi"), ("zzz", text + "xi")]
+    df = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in texts], "id string, content string, class string, text string, n int")
+    near = neardup.NearDuplicates(df, "id", "content", words=3, least=0.7)
+    every = {tuple(sorted((a, b))) for a, _ in texts for b, _ in texts if a != b}
+    assert {tuple(r) for r in near.id_pairs(expanded=None).collect()} == every
+    assert {tuple(r) for r in near.id_pairs().collect()} == {("000", f"{i:03}") for i in range(1, 30)} | {("000", "yyy"), ("000", "zzz"), ("yyy", "zzz")}
+
+
 def test_very_long_text(spark):
     long = " ".join(f"w{i % 9001}" for i in range(60_000))
     assert found(spark, [("a", long), ("b", long + " more"), ("c", "other words entirely here")]) == {("a", "b")}
