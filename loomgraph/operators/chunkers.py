@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.functions.text import trim_space
 
@@ -24,17 +25,17 @@ def sentences(text: Column) -> Column:
 
 def _placed(df: DataFrame, contents: Column, gap: int, path: Callable[[Column, Column], Column]) -> DataFrame:
     """A row per element of ``contents`` (structs of ordinal and content) with offsets that run on by ``gap``."""
-    begin = F.struct(F.array().cast("array<struct<k:int,content:string,start:int,end:int>>").alias("done"), F.lit(0).alias("at"))
+    ends = _running(F.transform(contents, lambda x: F.octet_length(x["content"]) + gap))
+    out = df.withColumn("_c", F.explode(F.arrays_zip(contents.alias("c"), ends.alias("e"))))
+    keep = [c for c in df.columns if c not in ("content",)]
+    k, content, end = F.col("_c.c.k"), F.col("_c.c.content"), F.col("_c.e") - gap
+    return out.select(*keep, content.alias("content"), path(F.col("base_path"), k).alias("path"), (end - F.octet_length(content)).alias("start_pos"), end.alias("end_pos"), k.alias("chunk_index"))
 
-    def add(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.octet_length(x["content"])
-        one = F.struct(x["k"].alias("k"), x["content"].alias("content"), acc["at"].alias("start"), end.alias("end"))
-        return F.struct(F.concat(acc["done"], F.array(one)).alias("done"), (end + gap).alias("at"))
 
-    made = F.aggregate(contents, begin, add, lambda acc: acc["done"])
-    out = df.withColumn("_c", F.explode(made))
-    keep = [c for c in df.columns if c not in ("content",)]
-    return out.select(*keep, F.col("_c.content").alias("content"), path(F.col("base_path"), F.col("_c.k")).alias("path"), F.col("_c.start").alias("start_pos"), F.col("_c.end").alias("end_pos"), F.col("_c.k").alias("chunk_index"))
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _running(sizes: pd.Series) -> pd.Series:
+    """Running sums of each array, so that chunks needn't be counted one behind the other in an expression."""
+    return sizes.map(lambda a: None if a is None else np.cumsum(a, dtype=np.int64).astype(np.int32))
 
 
 def _numbered(contents: Column) -> Column:
@@ -73,6 +74,7 @@ def hashing_embedder(dim: int = 384) -> Callable[[list[str]], np.ndarray]:
             row /= n or 1.0
         return out
 
+    embed.model = f"hashed words, {dim} values"
     return embed
 
 
@@ -118,9 +120,11 @@ def semantic_cuts(lengths: list[int], vectors: np.ndarray, most: int, threshold:
 def semantic_chunks(df: DataFrame, key: str, text: str, most: int, threshold: float, embedder: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
     """(key, content, path, start_pos, end_pos, chunk_index, metadata): sentences grouped by likeness up to ``most`` bytes.
 
-    ``df`` has ``key``, base_path and ``text``. A text without sentences gives no rows.
+    ``df`` has ``key``, base_path and ``text``. A text without sentences gives no rows. Metadata name the model of the
+    embedder: its attribute ``model``, else its name.
     """
     run = embedder or hashing_embedder()
+    model = getattr(run, "model", getattr(run, "__name__", type(run).__name__))
     kind = df.schema[key].dataType.simpleString()
 
     def chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,7 +139,7 @@ def semantic_chunks(df: DataFrame, key: str, text: str, most: int, threshold: fl
                 at = 0
                 for n, (a, z) in enumerate(semantic_cuts([len(x.encode()) for x in s], np.asarray(run(s)), most, threshold)):
                     c = " ".join(s[a:z])
-                    meta = json.dumps({"chunking_method": "semantic", "num_sentences": z - a})
+                    meta = json.dumps({"chunking_method": "semantic", "embedding_model": model, "num_sentences": z - a})
                     rows.append((k, c, f"{base}.chunk{n}", at, at + len(c.encode()), n, meta))
                     at += len(c.encode())
             yield pd.DataFrame(rows, columns=["key", "content", "path", "start_pos", "end_pos", "chunk_index", "metadata"])

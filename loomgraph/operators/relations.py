@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -21,6 +22,16 @@ CITATIONS = {
 _GROUPS = {k: re.compile(p).groups for k, p in CITATIONS.items()}
 
 Extractor = Callable[[str], list[tuple[str, str, float, int, int]]]
+Relator = Callable[[DataFrame, DataFrame], DataFrame]
+#: Columns of an edge before it is stored, and of a mention.
+EDGE = ["source_chunk_id", "target_chunk_id", "source_entity_id", "target_entity_id", "edge_type", "weight", "bidirectional", "metadata"]
+MENTION = "chunk_id string, pos int, name string, entity_type string, confidence double, start int, end int, entity_id string"
+_TYPES = dict(zip(EDGE, ["string"] * 5 + ["double", "boolean", "string"]))
+
+
+def _as_edges(df: DataFrame) -> DataFrame:
+    """The columns ``EDGE`` of ``df``, null where it lacks one."""
+    return df.select(*[F.col(c).cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in _TYPES.items()])
 
 
 def citations(chunks: DataFrame, key: str, content: str = "content") -> DataFrame:
@@ -42,10 +53,10 @@ def citations(chunks: DataFrame, key: str, content: str = "content") -> DataFram
 
 
 def citation_edges(chunks: DataFrame) -> DataFrame:
-    """Reference edges of weight 0.7 from chunks (id, path, content) to what they cite; without a target they aren't stored."""
-    c = citations(chunks.withColumn("_k", F.struct("id", "path")), "_k")
-    meta = F.to_json(F.struct("citation_text", F.lit("pattern_supplement").alias("detection_type"), "citation_pattern", F.col("_k.path").alias("extracted_from"), "reference_id", "reference_year"))
-    return c.select(F.col("_k.id").alias("source_chunk_id"), F.lit("reference").alias("edge_type"), F.lit(0.7).alias("weight"), F.lit(False).alias("bidirectional"), meta.alias("metadata"))
+    """Reference edges of weight 0.7 from what chunks (path, content) cite; their source is the chunk of ``extracted_from``."""
+    c = citations(chunks, "path")
+    meta = F.to_json(F.struct("citation_text", F.lit("pattern_supplement").alias("detection_type"), "citation_pattern", F.col("path").alias("extracted_from"), "reference_id", "reference_year"))
+    return _as_edges(c.select(F.lit("reference").alias("edge_type"), F.lit(0.7).alias("weight"), F.lit(False).alias("bidirectional"), meta.alias("metadata")))
 
 
 def normal_type(entity_type: Column) -> Column:
@@ -78,11 +89,59 @@ def extract_entities(chunks: DataFrame, extractor: Extractor = capitalised_extra
     return found.withColumn("name", F.trim("name")).withColumn("entity_type", normal_type(F.col("entity_type")))
 
 
-def extracted_citations(entities: DataFrame) -> DataFrame:
+def extracted_citations(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Reference edges from works and persons that an extractor found (MISC, PER), weighted by confidence."""
-    hit = entities.filter(F.col("entity_type").isin("MISC", "PER"))
-    meta = F.to_json(F.struct(F.col("name").alias("citation_text"), F.lit("ner_model").alias("detection_type"), F.col("entity_type").alias("ner_entity"), "start", "end"))
-    return hit.select(F.col("chunk_id").alias("source_chunk_id"), F.lit("reference").alias("edge_type"), F.col("confidence").alias("weight"), F.lit(False).alias("bidirectional"), meta.alias("metadata"))
+    hit = mentions.filter(F.col("entity_type").isin("MISC", "PER")).join(chunks.select(F.col("id").alias("chunk_id"), F.col("path").alias("extracted_from")), "chunk_id")
+    meta = F.to_json(F.struct(F.col("name").alias("citation_text"), F.lit("ner_model").alias("detection_type"), "entity_type", "confidence", "extracted_from", "start", "end"))
+    return _as_edges(hit.select(F.lit("reference").alias("edge_type"), F.col("confidence").alias("weight"), F.lit(False).alias("bidirectional"), meta.alias("metadata")))
+
+
+def cooccurrence_edges(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Edges in both directions between the entities (entity_id) of mentions that begin less than 100 apart in a chunk."""
+    of = mentions.select("chunk_id", "pos", "entity_id", "entity_type", "name")
+    end = lambda n, pos, role: of.select("chunk_id", F.col("pos").alias(pos), F.col("entity_id").alias(role), F.col("entity_type").alias(f"entity{n}_type"), F.col("name").alias(f"entity{n}_name"))
+    both = cooccurrence(mentions).join(end(1, "a", "source_entity_id"), ["chunk_id", "a"]).join(end(2, "b", "target_entity_id"), ["chunk_id", "b"])
+    both = both.join(chunks.select(F.col("id").alias("chunk_id"), F.col("path").alias("context")), "chunk_id")
+    meta = F.to_json(F.struct("distance", "context", "entity1_type", "entity2_type", "entity1_name", "entity2_name"))
+    return _as_edges(both.select("source_entity_id", "target_entity_id", F.lit("entity_mention").alias("edge_type"), "weight", F.lit(True).alias("bidirectional"), meta.alias("metadata")))
+
+
+def default_relations(chunks: DataFrame, mentions: DataFrame) -> DataFrame:
+    """The default relation extractor: citations by what was extracted and by patterns, and co-occurrence of entities.
+
+    ``chunks`` has id, path and content, ``mentions`` the columns ``MENTION``. Citations have no target.
+    """
+    return extracted_citations(mentions, chunks).unionByName(citation_edges(chunks)).unionByName(cooccurrence_edges(mentions, chunks))
+
+
+def per_chunk(relate: Callable[[str, str, list[dict]], list[dict]]) -> Relator:
+    """A relation extractor of a plain function of a chunk's text, path and entities (dicts of a mention's columns).
+
+    The function gives dicts with any of the keys ``EDGE``; metadata may be a dict. It runs in Arrow batches, on the
+    entities of one chunk at a time.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for text, path, found in zip(pdf["content"], pdf["path"], pdf["m"]):
+                for e in relate(text, path, sorted((m if isinstance(m, dict) else m.asDict() for m in (() if found is None else found)), key=lambda m: m["pos"])):
+                    meta = e.get("metadata")
+                    rows.append([(json.dumps(meta) if isinstance(meta, dict) else meta) if c == "metadata" else e.get(c) for c in EDGE])
+            yield pd.DataFrame(rows, columns=EDGE, dtype=object)
+
+    def extractor(chunks: DataFrame, mentions: DataFrame) -> DataFrame:
+        m = mentions.groupBy(F.col("chunk_id").alias("id")).agg(F.collect_list(F.struct("pos", "name", "entity_type", "confidence", "start", "end", "entity_id")).alias("m"))
+        return chunks.select("id", "path", "content").join(m, "id", "left").select("path", "content", "m").mapInPandas(run, ", ".join(f"{c} {t}" for c, t in _TYPES.items()))
+
+    return extractor
+
+
+def link_extracted(edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Edges (columns ``EDGE``) of which those without a source take the chunk at the path in their ``extracted_from``, if it is there."""
+    at = F.when(F.coalesce("source_chunk_id", "source_entity_id").isNull(), F.get_json_object("metadata", "$.extracted_from"))
+    ids = chunks.groupBy(F.col("path").alias("_path")).agg(F.min("id").alias("_id"))
+    return edges.withColumn("_path", at).join(ids, "_path", "left").withColumn("source_chunk_id", F.coalesce("source_chunk_id", "_id")).select(*EDGE)
 
 
 def cooccurrence(mentions: DataFrame, reach: int = 100) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import vectors
 from loomgraph.operators.chunks import hierarchy
+from loomgraph.runtime import cut
 
 
 def _scored(chunks: DataFrame, query: Sequence[float], threshold: float, rids: Sequence[str]) -> DataFrame:
@@ -85,7 +86,7 @@ def _block_scorer(ids: list, embeddings: list[list[float]], k: int, threshold: f
             if at:
                 q = np.array([embeddings[i] for i in at], np.float64)
                 groups[dim] = ([ids[i] for i in at], q / np.linalg.norm(q, axis=1, keepdims=True))
-        best: dict = {}
+        best = {n: (np.empty(0), np.empty(0, object)) for names, _ in groups.values() for n in names}
         for pdf in batches:
             for dim, (names, q) in groups.items():
                 mine = pdf[[len(e) == dim for e in pdf["embedding"]]]
@@ -96,11 +97,18 @@ def _block_scorer(ids: list, embeddings: list[list[float]], k: int, threshold: f
                     s = q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
                 s = np.where(np.isfinite(s), s, -2)
                 chunk = mine["id"].to_numpy()
-                for i, name in enumerate(names):
-                    j = np.flatnonzero(s[i] >= threshold)
-                    rows = [*best.get(name, []), *zip(-np.round(s[i][j], 9), chunk[j], s[i][j])]
-                    best[name] = sorted(rows)[:k]
-        yield pd.DataFrame([(n, r[1], float(r[2])) for n, rows in best.items() for r in rows], columns=["query_id", "id", "similarity"])
+                m = min(k, s.shape[1])
+                # the m-th best of each query here; what ties with it to nine digits is kept until ids decide
+                floor = np.maximum(-np.partition(-s, m - 1, axis=1)[:, m - 1] - 1e-9, threshold) if m else np.full(len(names), np.inf)
+                for name, row, least in zip(names, s, floor):
+                    j = np.flatnonzero(row >= least)
+                    if len(j):
+                        have, ids_ = best[name]
+                        sims, at = np.concatenate([have, row[j]]), np.concatenate([ids_, chunk[j]])
+                        order = np.lexsort((at.astype(str), -np.round(sims, 9)))[:k]
+                        best[name] = sims[order], at[order]
+        rows = [(n, c, float(v)) for n, (sims, at) in best.items() for v, c in zip(sims, at)]
+        yield pd.DataFrame(rows, columns=["query_id", "id", "similarity"])
 
     return score
 
@@ -124,19 +132,27 @@ class IndexChoice:
 
 
 class ClusterIndex:
-    """Vectors by the nearest of a number of centres; a search looks into the clusters of the nearest centres only.
+    """Vectors by the nearest of a number of centres; a search reads the clusters of the nearest centres only.
 
-    The centres are fitted on at most ``sample`` vectors; every vector is indexed.
+    The centres are fitted on at most ``sample`` vectors; every vector is indexed. The index is written once, into
+    ``folder`` partitioned by cluster, so that other clusters aren't read; without a folder it is kept in the
+    checkpoint folder, and other clusters are read but not compared.
     """
 
-    def __init__(self, chunks: DataFrame, lists: int = 100, seed: int = 1, sample: int = 100_000):
+    def __init__(self, chunks: DataFrame, lists: int = 100, seed: int = 1, sample: int = 100_000, folder: str | None = None):
         v = chunks.filter(vectors.cosine(F.col("embedding"), F.col("embedding")).isNotNull())
         n = v.count()
         some = v.select(array_to_vector("embedding").alias("features"))
         if n > sample:
             some = some.sample(fraction=sample / n, seed=seed)
         self.model = KMeans(k=max(2, min(lists, n // 2)), distanceMeasure="cosine", seed=seed, maxIter=10).fit(some)
-        self.chunks = self.model.transform(v.withColumn("features", array_to_vector("embedding"))).withColumnRenamed("prediction", "cluster").drop("features")
+        indexed = self.model.transform(v.withColumn("features", array_to_vector("embedding"))).withColumnRenamed("prediction", "cluster").drop("features")
+        if folder:
+            # rows of a cluster are gathered in as many files as tasks hold, not in one task
+            indexed.write.partitionBy("cluster").parquet(folder)
+            self.chunks = chunks.sparkSession.read.schema(indexed.schema).parquet(folder)
+        else:
+            self.chunks = cut(indexed)
 
     def top_k(self, query: Sequence[float], k: int = 5, threshold: float = 0.0, probes: int = 10, rids: Sequence[str] = ()) -> DataFrame:
         q = np.array(query, np.float64)

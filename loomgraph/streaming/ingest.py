@@ -14,18 +14,21 @@ def read_documents(spark: SparkSession, folder: str, schema: str = "id long, rid
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def ingest_stream(documents: DataFrame, root: str, pipeline: Pipeline, checkpoint: str) -> DataStreamWriter:
-    """A writer that ingests each micro-batch and publishes a version; a batch that was published before is skipped.
+def ingest_stream(documents: DataFrame, root: str, pipeline: Pipeline, checkpoint: str, name: str | None = None) -> DataStreamWriter:
+    """A writer that ingests each micro-batch and publishes a version, each batch once.
 
-    Versions count batches, so a batch that is run again after a failure finds its version there and does nothing.
+    The manifest keeps the last batch of each stream under ``name`` (by default its checkpoint folder), apart from the
+    version, so that a store may have been written before and by others. Documents without content are left out, as an
+    error would stop the stream at them for good.
     """
+    stream = name or checkpoint
 
     def batch(df: DataFrame, number: int) -> None:
         store = GraphStore(df.sparkSession, root)
-        if store.versions.manifest()["version"] > number:
+        if store.manifest["batches"].get(stream, -1) >= number:
             return
         store.set_pipeline(pipeline)
-        store.process_and_insert(df)
-        store.save()
+        store.process_and_insert(df, on_empty="skip")
+        store.save(batch=(stream, number))
 
     return documents.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
