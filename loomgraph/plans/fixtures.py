@@ -33,6 +33,13 @@ SELECT concat('r', CAST(vec_id AS STRING)) AS id, concat('c', CAST(vec_id AS STR
 SELECT concat('n', CAST(n_nationkey AS STRING)) AS id, n_name AS name, 'NATION' AS entity_type FROM nation
  UNION ALL SELECT concat('g', CAST(r_regionkey AS STRING)), r_name, 'REGION' FROM region""",
 }
+# views of the given tables, which only the SQL side reads: the plans read the tables themselves
+_USABLE = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+SQL["tb_chunks"] = f"""
+SELECT c.*, r.document_rid FROM (SELECT id, min(document_id) AS document_id, min(path) AS path, min(chunk_index) AS chunk_index,
+  any_value(CASE WHEN {_USABLE} THEN embedding END) AS embedding FROM chunks WHERE id IS NOT NULL GROUP BY id) c
+  LEFT JOIN (SELECT id, min(rid) AS document_rid FROM doc_records GROUP BY id) r ON r.id = c.document_id"""
+SQL["tb_edges"] = "SELECT *, created_at AS created_seq FROM edges"
 _TABLES = ("embeddings", "nation", "region")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import paths, vectors
 from loomgraph.operators import chunkers, chunks, documents, edges, entities, relations, retrieve, traverse, vector
-from loomgraph.plans.fixtures import view, with_views
+from loomgraph.plans.fixtures import SQL, view, with_views
 from loomgraph.plans.ingest import Pipeline, process
 from loomgraph.runtime import table
 from loomgraph.schema import EDGE_TYPES, QueryConfig
@@ -32,16 +33,93 @@ def query(sql: str | None = None, recursive: bool = False, views: bool = True):
     return register
 
 
+class _Source:
+    """Where the queries below read: the small clean views, or the given tables with all that is wrong in them."""
+
+    tables = False
+
+
 def _chunks(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "fx_chunks")
+    if not _Source.tables:
+        return view(s, d, "fx_chunks")
+    c = table(s, d, "chunks").filter("id IS NOT NULL").groupBy("id").agg(F.min("document_id").alias("document_id"), F.min("path").alias("path"), F.min("chunk_index").alias("chunk_index"), F.first("embedding", ignorenulls=True).alias("embedding"))
+    return chunks.with_rid(c, table(s, d, "doc_records").groupBy("id").agg(F.min("rid").alias("rid")))
 
 
 def _edges(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "fx_edges")
+    return table(s, d, "edges").withColumn(SEQ, F.col("created_at")) if _Source.tables else view(s, d, "fx_edges")
 
 
 def _vec0(s: SparkSession, d: str) -> list[float]:
-    return list(table(s, d, "embeddings").filter("vec_id = 0").select("embedding").first()[0])
+    if not _Source.tables:
+        return list(table(s, d, "embeddings").filter("vec_id = 0").select("embedding").first()[0])
+    usable = table(s, d, "chunks").filter((F.size("embedding") == 64) & vectors.cosine(F.col("embedding"), F.col("embedding")).isNotNull())
+    return list(usable.orderBy("id").select("embedding").first()[0])
+
+
+def _most(s: SparkSession, d: str, column: str, clean: str) -> str:
+    """The chunk or entity with the most edges to chunks that are there, or ``clean`` in the views."""
+    if not _Source.tables:
+        return clean
+    there = table(s, d, "chunks").select("id").distinct()
+    e = table(s, d, "edges").join(there.select(F.col("id").alias("target_chunk_id")), "target_chunk_id", "left_semi")
+    if column == "source_chunk_id":
+        e = e.join(there.select(F.col("id").alias(column)), column, "left_semi")
+    return e.filter(F.col(column).isNotNull()).groupBy(column).count().orderBy(F.desc("count"), column).first()[0]
+
+
+def _node(s: SparkSession, d: str, clean: str) -> str:
+    return _most(s, d, "source_chunk_id", clean)
+
+
+def _entity(s: SparkSession, d: str, clean: str) -> str:
+    return _most(s, d, "source_entity_id", clean)
+
+
+def _target(s: SparkSession, d: str, clean: str) -> str:
+    """The entity that most chunks mention, or ``clean`` in the views."""
+    if not _Source.tables:
+        return clean
+    e = table(s, d, "edges").filter("target_entity_id IS NOT NULL AND source_chunk_id IS NOT NULL AND edge_type = 'entity_mention'")
+    return e.groupBy("target_entity_id").count().orderBy(F.desc("count"), "target_entity_id").first()[0]
+
+
+def _rids(s: SparkSession, d: str) -> list[str]:
+    if not _Source.tables:
+        return ["doc1", "doc2"]
+    return [r[0] for r in _chunks(s, d).filter("document_rid IS NOT NULL").select("document_rid").distinct().orderBy("document_rid").limit(2).collect()]
+
+
+_NODE_SQL = "(SELECT source_chunk_id FROM edges WHERE source_chunk_id IN (SELECT id FROM chunks) AND target_chunk_id IN (SELECT id FROM chunks) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+_ENTITY_SQL = "(SELECT source_entity_id FROM edges WHERE source_entity_id IS NOT NULL AND target_chunk_id IN (SELECT id FROM chunks) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+
+
+_TARGET_SQL = "(SELECT target_entity_id FROM edges WHERE target_entity_id IS NOT NULL AND source_chunk_id IS NOT NULL AND edge_type = 'entity_mention' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+
+
+def _over_tables(name: str) -> None:
+    """Registers ``name`` once more as ``name_tables``, over chunks, edges and doc_records."""
+    plan, sql = QUERIES[name], ORACLES[name]
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        _Source.tables = True
+        try:
+            return plan(s, d)
+        finally:
+            _Source.tables = False
+
+    # the text after the clean views, with the tables in their place
+    recursive = sql.startswith("WITH RECURSIVE ")
+    body = sql.removeprefix("WITH RECURSIVE ").removeprefix("WITH ")
+    for view_name in SQL:
+        text = f"{view_name} AS ({SQL[view_name]})"
+        body = body.replace(text + ", ", "").replace(text, "")
+    body = body.replace("fx_chunks", "tb_chunks").replace("fx_edges", "tb_edges").replace("FROM embeddings WHERE vec_id = 0", "FROM (SELECT embedding FROM tb_chunks WHERE embedding IS NOT NULL ORDER BY id LIMIT 1)")
+    body = re.sub(r"'c[0135]'", _NODE_SQL, body).replace("target_entity_id = 'n3' AND edge_type", f"target_entity_id = {_TARGET_SQL} AND edge_type").replace("'n3'", _ENTITY_SQL).replace("('doc1', 'doc2')", "(SELECT DISTINCT document_rid FROM tb_chunks WHERE document_rid IS NOT NULL ORDER BY 1 LIMIT 2)")
+    body = body.replace("ORDER BY chunk_index, id", "ORDER BY chunk_index NULLS FIRST, id").strip()
+    views = ", ".join(f"{v} AS ({SQL[v]})" for v in ("tb_chunks", "tb_edges") if v in body)
+    QUERIES[f"{name}_tables"] = run
+    ORACLES[f"{name}_tables"] = f"WITH {'RECURSIVE ' if recursive else ''}{views}{' ' if body.startswith('SELECT') else ', '}{body.lstrip(', ')}"
 
 
 # --- vector search
@@ -67,7 +145,7 @@ def vec_threshold(s, d):
 
 @query(_SCORED + "SELECT id, round(sim, 6) AS similarity FROM sc WHERE sim >= 0 AND document_rid IN ('doc1', 'doc2') ORDER BY round(sim, 9) DESC, id LIMIT 10")
 def vec_doc_scoped(s, d):
-    return _sims(vector.top_k(_chunks(s, d), _vec0(s, d), 10, 0.0, ["doc1", "doc2"]))
+    return _sims(vector.top_k(_chunks(s, d), _vec0(s, d), 10, 0.0, _rids(s, d)))
 
 
 @query(_SEEDS + """, near AS (
@@ -158,33 +236,33 @@ def edge_lookup(s, d):
 
 @query(_E + "source_chunk_id = 'c0'")
 def edges_from(s, d):
-    return edges.edges_from_chunk(_edges(s, d), "c0", time=SEQ).select("id", "edge_type", "weight")
+    return edges.edges_from_chunk(_edges(s, d), _node(s, d, "c0"), time=SEQ).select("id", "edge_type", "weight")
 
 
 @query(_E + "target_chunk_id = 'c1' AND edge_type = 'reference'")
 def edges_to(s, d):
-    return edges.edges_to_chunk(_edges(s, d), "c1", "reference", time=SEQ).select("id", "edge_type", "weight")
+    return edges.edges_to_chunk(_edges(s, d), _node(s, d, "c1"), "reference", time=SEQ).select("id", "edge_type", "weight")
 
 
 @query("SELECT id, edge_type, weight, true AS is_outgoing FROM fx_edges WHERE source_chunk_id = 'c5' UNION ALL SELECT id, edge_type, weight, false FROM fx_edges WHERE target_chunk_id = 'c5' AND bidirectional")
 def edges_connected(s, d):
-    return edges.edges_connected_to_chunk(_edges(s, d), "c5", time=SEQ).select("id", "edge_type", "weight", "is_outgoing")
+    return edges.edges_connected_to_chunk(_edges(s, d), _node(s, d, "c5"), time=SEQ).select("id", "edge_type", "weight", "is_outgoing")
 
 
 @query(_E + "source_entity_id = 'n3'")
 def edges_from_entity(s, d):
-    return edges.edges_from_entity(_edges(s, d), "n3", time=SEQ).select("id", "edge_type", "weight")
+    return edges.edges_from_entity(_edges(s, d), _entity(s, d, "n3"), time=SEQ).select("id", "edge_type", "weight")
 
 
 @query(_E + "target_entity_id = 'n3' AND edge_type = 'entity_mention'")
 def edges_to_entity(s, d):
-    return edges.edges_to_entity(_edges(s, d), "n3", "entity_mention", time=SEQ).select("id", "edge_type", "weight")
+    return edges.edges_to_entity(_edges(s, d), _target(s, d, "n3"), "entity_mention", time=SEQ).select("id", "edge_type", "weight")
 
 
 @query("SELECT source_chunk_id AS chunk_id, id AS edge_id FROM fx_edges WHERE target_entity_id = 'n3' AND edge_type = 'entity_mention' AND source_chunk_id IS NOT NULL")
 def mentions(s, d):
     e = _edges(s, d).withColumn("created_at", F.col(SEQ)).withColumn("metadata", F.lit("{}"))
-    return entities.chunks_mentioning(e, "n3").select("chunk_id", "edge_id")
+    return entities.chunks_mentioning(e, _target(s, d, "n3")).select("chunk_id", "edge_id")
 
 
 _FOR = "SELECT DISTINCT c.id, c.document_rid, c.chunk_index FROM fx_chunks c JOIN fx_edges e ON (e.source_entity_id = 'n3' AND e.target_chunk_id = c.id) OR (e.target_entity_id = 'n3' AND e.source_chunk_id = c.id)"
@@ -192,7 +270,7 @@ _FOR = "SELECT DISTINCT c.id, c.document_rid, c.chunk_index FROM fx_chunks c JOI
 
 @query(_FOR)
 def chunks_for_entity(s, d):
-    return entities.chunks_for_entity(_edges(s, d), _chunks(s, d), "n3").select("id", "document_rid", "chunk_index")
+    return entities.chunks_for_entity(_edges(s, d), _chunks(s, d), _entity(s, d, "n3")).select("id", "document_rid", "chunk_index")
 
 
 @query("SELECT edge_type, count(*) AS n FROM edges WHERE edge_type IN ('semantic', 'hierarchical', 'reference', 'entity_mention', 'temporal', 'causal', 'custom') AND coalesce(source_chunk_id, source_entity_id) IS NOT NULL AND coalesce(target_chunk_id, target_entity_id) IS NOT NULL GROUP BY 1")
@@ -235,12 +313,12 @@ def _one(s: SparkSession, chunk: str) -> DataFrame:
 
 @query("," + _bfs_sql("out", 3, "SELECT 'c0' AS seed, 'c0' AS id") + "SELECT id, CAST(distance AS INT) AS distance FROM found", recursive=True)
 def bfs_out(s, d):
-    return traverse.bfs(_one(s, "c0"), _chunks(s, d), traverse.adjacency(_edges(s, d), time=SEQ), 3).select("id", "distance")
+    return traverse.bfs(_one(s, _node(s, d, "c0")), _chunks(s, d), traverse.adjacency(_edges(s, d), time=SEQ), 3).select("id", "distance")
 
 
 @query("," + _bfs_sql("both", 3, "SELECT 'c0' AS seed, 'c0' AS id") + "SELECT id, CAST(distance AS INT) AS distance FROM found", recursive=True)
 def bfs_both(s, d):
-    return traverse.bfs(_one(s, "c0"), _chunks(s, d), traverse.adjacency(_edges(s, d), direction="both", time=SEQ), 3).select("id", "distance")
+    return traverse.bfs(_one(s, _node(s, d, "c0")), _chunks(s, d), traverse.adjacency(_edges(s, d), direction="both", time=SEQ), 3).select("id", "distance")
 
 
 @query("," + _bfs_sql("out", 2, "SELECT id AS seed, id FROM fx_chunks") + "SELECT CAST(distance AS INT) AS distance, count(*) AS n FROM found GROUP BY 1", recursive=True)
@@ -258,7 +336,7 @@ def walk_paths(s, d):
 
 @query("SELECT DISTINCT e.target_chunk_id AS id FROM fx_edges e JOIN fx_chunks c ON c.id = e.target_chunk_id WHERE e.source_chunk_id = 'c3'")
 def neighbors(s, d):
-    return traverse.neighbours(_one(s, "c3"), _chunks(s, d), traverse.adjacency(_edges(s, d), time=SEQ)).select("id")
+    return traverse.neighbours(_one(s, _node(s, d, "c3")), _chunks(s, d), traverse.adjacency(_edges(s, d), time=SEQ)).select("id")
 
 
 @query()
@@ -319,14 +397,14 @@ def hybrid(s, d):
 
 @query(_SCORED + ", seeds AS (SELECT *, row_number() OVER (ORDER BY round(sim, 9) DESC, id) - 1 AS rank FROM (SELECT * FROM sc WHERE sim >= 0 AND document_rid IN ('doc1', 'doc2') ORDER BY round(sim, 9) DESC, id LIMIT 10))" + _HYBRID + f"SELECT {_OUT} FROM total ORDER BY round(score, 9) DESC, id LIMIT 10", recursive=True)
 def hybrid_scoped(s, d):
-    return _found(retrieve.document_scoped(_chunks(s, d), _edges(s, d), _vec0(s, d), ["doc1", "doc2"], replace(CONFIG, top_k=10), SEQ))
+    return _found(retrieve.document_scoped(_chunks(s, d), _edges(s, d), _vec0(s, d), _rids(s, d), replace(CONFIG, top_k=10), SEQ))
 
 
 @query(f",, direct AS (SELECT *, row_number() OVER (ORDER BY chunk_index, id) AS rank FROM ({_FOR}))" + _bfs_sql("out", 2, "SELECT rank AS seed, id FROM direct") + f""",
 pick AS (SELECT id, 0.3 / distance AS score, distance, row_number() OVER (PARTITION BY id ORDER BY seed) AS k FROM found WHERE distance > 0 AND id NOT IN (SELECT id FROM direct))
 SELECT {_OUT} FROM (SELECT id, 1.0 AS score, 0 AS sim, 0 AS dist, 'entity_centric' AS m FROM direct UNION ALL SELECT id, score, 0, distance, 'entity_fanout' FROM pick WHERE k = 1)""", recursive=True)
 def entity_centric(s, d):
-    return _found(retrieve.entity_centric(_chunks(s, d), _edges(s, d), "n3", replace(CONFIG, top_k=0), SEQ, order=F.col("chunk_index")))
+    return _found(retrieve.entity_centric(_chunks(s, d), _edges(s, d), _entity(s, d, "n3"), replace(CONFIG, top_k=0), SEQ, order=F.col("chunk_index")))
 
 
 # --- chunking and relations
@@ -524,3 +602,89 @@ def chunk_embeddings_updated(s, d):
     changes = table(s, d, "deletions").select(F.col("record_id").alias("id"), F.array(F.lit(1.0).cast("float")).alias("embedding")).distinct()
     c = chunks.update_chunk_embeddings(table(s, d, "chunks"), changes)
     return c.select("id", F.coalesce(F.size("embedding"), F.lit(-1)).cast("long").alias("n")).distinct()
+
+
+# --- the same queries over the given tables
+for _name in """vec_topk vec_threshold vec_doc_scoped vec_with_context vec_batch_topk edges_from edges_to edges_connected edges_from_entity edges_to_entity mentions
+chunks_for_entity bfs_out bfs_both bfs_all_seeds neighbors vector_only contextual multihop hybrid hybrid_scoped entity_centric""".split():
+    _over_tables(_name)
+
+
+# --- what one engine alone decides, by what must hold of it
+@query(ORACLES["vec_topk"], views=False)
+def vec_ivfflat_all(s, d):
+    """The index over clusters, asked in all of them, finds what the exact search finds."""
+    return _sims(vector.ClusterIndex(_chunks(s, d), 20).top_k(_vec0(s, d), 5, 0.0, probes=20))
+
+
+@query("SELECT 0::BIGINT AS n_repeated, 0::BIGINT AS n_out_of_reach, 0::BIGINT AS n_far, 0::BIGINT AS n_gaps")
+def dfs_check(s, d):
+    """Of the depth-first walk: chunks met twice, not within reach, at another distance than their path's, and gaps in the order."""
+    steps = traverse.adjacency(_edges(s, d), time=SEQ)
+    found = traverse.dfs(_one(s, "c0"), _chunks(s, d), steps, 3)
+    reach = traverse.bfs(_one(s, "c0"), _chunks(s, d), steps, 3).select("id", F.lit(1).alias("reached"))
+    far = F.count_if((F.col("distance") != F.size("path") - 1) | (F.col("distance") > 3) | (F.element_at("path", -1) != F.col("id")))
+    return found.join(reach, "id", "left").agg(
+        (F.count("*") - F.countDistinct("id")).alias("n_repeated"), F.count_if(F.col("reached").isNull()).alias("n_out_of_reach"), far.alias("n_far"), (F.max("ord") + 1 - F.count("*")).alias("n_gaps"),
+    )
+
+
+@query("SELECT 0::BIGINT AS n_long, 0::BIGINT AS n_unnamed, 0::BIGINT AS n_gaps")
+def semantic_chunks_check(s, d):
+    """Of semantic chunks: those of several sentences above the limit, without the name of the model, and not where the one before ends."""
+    from pyspark.sql import Window as W
+
+    t = table(s, d, "documents").select("doc_id", "text", F.concat(F.lit("doc_"), "doc_id").alias("base_path"))
+    c = chunkers.semantic_chunks(t, "doc_id", "text", 500, 0.7)
+    before = F.lag("end_pos", 1, 0).over(W.partitionBy("doc_id").orderBy("chunk_index"))
+    field = lambda n: F.get_json_object("metadata", f"$.{n}")
+    # sentences count to the limit, the blanks between them don't
+    size = F.octet_length("content") - field("num_sentences").cast("int") + 1
+    return c.withColumn("before", before).agg(
+        F.count_if((field("num_sentences").cast("int") > 1) & (size > 500)).alias("n_long"), F.count_if(field("embedding_model").isNull()).alias("n_unnamed"), F.count_if(F.col("start_pos") != F.col("before")).alias("n_gaps"),
+    )
+
+
+@query("""WITH t AS (SELECT id, arg_max(content, strftime(updated_at, '%Y%m%d%H%M%S%f') || content) AS text FROM doc_records WHERE content IS NOT NULL AND updated_at IS NOT NULL GROUP BY id),
+s AS (SELECT id, len(string_split(replace(replace(replace(text, '! ', '!|'), '? ', '?|'), '. ', '.|'), '|')) AS n FROM t WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '')
+SELECT id AS document_id, (n + 2) // 3 AS n_chunks, (n + 2) // 3 AS n_embedded FROM s""")
+def ingested_chunks(s, d):
+    """The whole pipeline with the sentence chunker and the embedder of tests: chunks of each document, as they would be stored."""
+    t = table(s, d, "doc_records").filter("content IS NOT NULL AND updated_at IS NOT NULL").groupBy("id").agg(F.max_by(F.struct("rid", "title", "source", "metadata", "content"), F.struct("updated_at", "content")).alias("r")).select("id", "r.*")
+    made = process(t, Pipeline(lambda df: chunkers.sentence_chunks(df, "text", 3).drop("text"), chunkers.length_embedder()))
+    return made["chunks"].groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.count_if(F.size("embedding") == 384).alias("n_embedded"))
+
+
+@query("SELECT regexp_replace(entity_type, '^(B-|I-)', '') AS entity_type, count(*) AS n FROM entities WHERE name IS NOT NULL AND regexp_replace(entity_type, '^(B-|I-)', '') IN ('MISC', 'PER') GROUP BY 1")
+def extracted_citations(s, d):
+    """Citations made of what an extractor found, with all entities as what was found in one chunk."""
+    m = table(s, d, "entities").filter("name IS NOT NULL").select(F.lit("c").alias("chunk_id"), "name", relations.normal_type(F.col("entity_type")).alias("entity_type"), F.lit(0.5).alias("confidence"), F.lit(0).alias("start"), F.lit(1).alias("end"))
+    e = relations.link_extracted(relations.extracted_citations(m, s.createDataFrame([("c", "doc.c")], "id string, path string")), s.createDataFrame([("c", "doc.c")], "id string, path string"))
+    return e.filter("source_chunk_id = 'c'").select(F.get_json_object("metadata", "$.entity_type").alias("entity_type")).groupBy("entity_type").agg(F.count("*").alias("n"))
+
+
+# --- operators on rows that may be inserted
+@query("SELECT document_id, count(*) AS n, count(embedding) AS n_embedded FROM chunks WHERE content IS NOT NULL AND path IS NOT NULL AND document_id IN (SELECT id FROM doc_records) AND (embedding IS NULL OR len(embedding) = 64) GROUP BY 1")
+def chunks_inserted(s, d):
+    """The chunks that may be inserted, counted by document after insertion into an empty table."""
+    c, r = table(s, d, "chunks"), table(s, d, "doc_records").select("id").distinct()
+    ok = c.filter("content IS NOT NULL AND path IS NOT NULL AND (embedding IS NULL OR size(embedding) = 64)").join(r.select(F.col("id").alias("document_id")), "document_id", "left_semi").select(c.columns)
+    return chunks.insert_chunks(c.limit(0), ok, r, 64).groupBy("document_id").agg(F.count("*").alias("n"), F.count("embedding").alias("n_embedded"))
+
+
+@query("SELECT DISTINCT c.id, c.path, r.rid AS document_rid FROM chunks c LEFT JOIN (SELECT id, min(rid) AS rid FROM doc_records GROUP BY id) r ON r.id = c.document_id WHERE c.id = (SELECT max(id) FROM chunks)")
+def chunk_lookup(s, d):
+    c, r = table(s, d, "chunks"), table(s, d, "doc_records").groupBy("id").agg(F.min("rid").alias("rid"))
+    return chunks.select_chunk(c, r, c.agg(F.max("id")).first()[0]).select("id", "path", "document_rid").distinct()
+
+
+@query("SELECT count(*) AS n FROM (SELECT DISTINCT e.source_chunk_id, e.target_chunk_id FROM edges e WHERE e.source_chunk_id <> e.target_chunk_id AND e.source_chunk_id IN (SELECT id FROM chunks) AND e.target_chunk_id IN (SELECT id FROM chunks))")
+def neighbors_but_self(s, d):
+    c = table(s, d, "chunks").select("id").distinct()
+    return traverse.neighbours(c.select(F.col("id").alias("seed"), "id"), c, traverse.adjacency(table(s, d, "edges")), exclude_self=True).agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT id, name FROM entities WHERE entity_type = 'ORG' ORDER BY name, id LIMIT 100")
+def entities_by_type_tables(s, d):
+    e = table(s, d, "entities").select("id", "name", "entity_type").distinct()
+    return entities.select_entities_by_type(e, "ORG").select("id", "name")
