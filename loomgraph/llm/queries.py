@@ -6,11 +6,12 @@ import os
 import secrets
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.llm import knn, leakage, names, neardup, packing, pii, splitting
 from loomgraph.operators.components import components
-from loomgraph.runtime import table
+from loomgraph.runtime import cut, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +115,47 @@ def p9_redaction_check(spark: SparkSession, d: str) -> DataFrame:
 _EMAIL = r"[a-z0-9]+@[a-z0-9-]+\.(?:com|org|net|example)\b"
 
 
-QUERIES = {"p5_found": p5_found, "p5_chunks": p5_chunks, "p7_containers": p7_containers, "p7_fill": p7_fill, "p2_found": p2_found, "p2_groups": p2_groups, "p9_found": p9_found, "p9_redacted": p9_redacted, "p9_surrogates": p9_surrogates, "p9_surrogate_faults": p9_surrogate_faults, "p9_redaction_check": p9_redaction_check, "p3_found": p3_found, "p3_groups": p3_groups, "p8_found": p8_found, "p8_matches": p8_matches, "p8_clean": p8_clean, "p4_found": p4_found}
+# --- what must hold of results that SQL can't give over whole tables
+def p2_groups_check(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that have a group, and those whose group isn't named by a smaller or the same id, or has another group."""
+    g = p2_groups(spark, d)
+    named = g.select(F.col("id").alias("group"), F.col("group").alias("again"))
+    bad = (F.col("group") > F.col("id")) | F.col("again").isNull() | (F.col("again") != F.col("group"))
+    return g.join(named, "group", "left").agg(F.count("*").alias("n_ids"), F.count_if(bad).alias("n_bad"))
+
+
+def p5_chunks_check(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that were split; pieces above the limit, or repeating too much; documents that their pieces don't make up."""
+    records = table(spark, d, "doc_records")
+    before = F.lag("end_pos", 1, 0).over(W.partitionBy("id").orderBy("chunk_index"))
+    p = splitting.split_oversized(records).withColumn("again", before - F.col("start_pos"))
+    p = p.withColumn("own", F.expr("substring(content, again + 1)")).withColumn("repeated", F.expr("octet_length(content) - octet_length(own)"))
+    made = p.groupBy("id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "own"))), lambda x: x["own"]), "").alias("whole"),
+        F.count_if((F.octet_length("content") > splitting.MOST) | (F.col("again") < 0)).alias("over"), F.count_if(F.col("repeated") > splitting.OVERLAP).alias("wide"),
+    )
+    return made.join(splitting.newest(records).select("id", "content"), "id").agg(
+        F.count("*").alias("n_documents"), F.sum("over").alias("n_over"), F.sum("wide").alias("n_wide"), F.count_if(F.col("whole") != F.col("content")).alias("n_changed"),
+    )
+
+
+def p7_containers_check(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that were placed; containers above the capacity; documents split though they fit, or not placed whole."""
+    placed = cut(p7_containers(spark, d))
+    over = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("used")).agg(F.count_if(F.col("used") > packing.CAPACITY).alias("n_over"))
+    per = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("begin_token") + F.col("n_tokens")).alias("end"), F.count("*").alias("pieces"))
+    whole = per.agg(F.count("*").alias("n_documents"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= packing.CAPACITY)).alias("n_split"), F.count_if(F.col("n") != F.col("end")).alias("n_parts"))
+    one = F.lit(1).alias("one")
+    return whole.select("*", one).join(over.select("*", one), "one").drop("one")
+
+
+def p8_partition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a test item and documents that hold none: together all, and none is both."""
+    clean, leaking = p8_clean(spark, d).select("doc_id", F.lit(1).alias("c")), p8_found(spark, d).select("doc_id", F.lit(1).alias("l")).distinct()
+    return clean.join(leaking, "doc_id", "full_outer").agg(F.count("*").alias("n_documents"), F.count_if(F.col("c").isNotNull() & F.col("l").isNotNull()).alias("n_both"))
+
+
+QUERIES = {"p2_groups_check": p2_groups_check, "p5_chunks_check": p5_chunks_check, "p7_containers_check": p7_containers_check, "p8_partition": p8_partition, "p5_found": p5_found, "p5_chunks": p5_chunks, "p7_containers": p7_containers, "p7_fill": p7_fill, "p2_found": p2_found, "p2_groups": p2_groups, "p9_found": p9_found, "p9_redacted": p9_redacted, "p9_surrogates": p9_surrogates, "p9_surrogate_faults": p9_surrogate_faults, "p9_redaction_check": p9_redaction_check, "p3_found": p3_found, "p3_groups": p3_groups, "p8_found": p8_found, "p8_matches": p8_matches, "p8_clean": p8_clean, "p4_found": p4_found}
 
 ORACLES: dict[str, str] = {
     "p9_surrogate_faults": "SELECT 'NAME' AS pii_type, '' AS surrogate, 2::BIGINT AS n_values, false AS kept WHERE false",
@@ -133,3 +174,16 @@ SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM r WHERE k <= 5"
 SELECT id FROM (SELECT id, content, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, created_at DESC NULLS LAST, content DESC NULLS LAST) AS r FROM doc_records WHERE id IS NOT NULL)
 WHERE r = 1 AND strlen(content) > 4000""",
 }
+_LARGE = ORACLES["p5_found"]
+ORACLES |= {
+    # the components of the pairs of p3_found
+    "p3_groups": f"""
+WITH RECURSIVE p AS ({ORACLES["p3_found"]}),
+e AS (SELECT id_a AS a, id_b AS b FROM p UNION ALL SELECT id_b, id_a FROM p),
+r AS (SELECT a AS id, a AS o FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.o)
+SELECT id, min(o) AS "group" FROM r GROUP BY 1""",
+    "p2_groups_check": "SELECT count(DISTINCT id) AS n_ids, 0::BIGINT AS n_bad FROM entities WHERE id IS NOT NULL AND regexp_matches(name, '[\\p{L}\\p{N}]')",
+    "p5_chunks_check": f"SELECT count(*) AS n_documents, 0::BIGINT AS n_over, 0::BIGINT AS n_wide, 0::BIGINT AS n_changed FROM ({_LARGE})",
+    "p7_containers_check": "SELECT count(*) AS n_documents, 0::BIGINT AS n_split, 0::BIGINT AS n_parts, 0::BIGINT AS n_over FROM documents WHERE text IS NOT NULL",
+    "p8_partition": "SELECT count(*) AS n_documents, 0::BIGINT AS n_both FROM documents",
+}
