@@ -1,9 +1,10 @@
 """Evaluation texts leaking into training texts, by suffix arrays of the training side.
 
 Each shard of documents (a batch within a task) gets a suffix array over word codes: the places where the next
-``SEED`` words all belong to the vocabulary of the test items, sorted by the words that follow. Every suffix of every
-test passage is binary-searched in it; the range found holds all places that agree for ``SEED`` words or more, and
-each is extended to its longest verbatim match. A window of ``LEAST`` item words with a fifth of them changed,
+``SEED`` words all belong to the vocabulary of the test items, sorted by these words. The order goes no further than
+``SEED`` words: every suffix of every test passage is binary-searched for the range of all places that agree for
+``SEED`` words or more, whatever follows, and each of them is extended word by word to its longest verbatim match, so
+that the order inside a range would be used by nothing. A window of ``LEAST`` item words with a fifth of them changed,
 dropped or added leaves at least one verbatim run of ``SEED`` words, so these matches miss nothing; an exact
 alignment around them decides.
 
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.markup import words
@@ -25,6 +26,8 @@ from loomgraph.llm.markup import words
 LEAST, SEED, SHARE = 20, 4, 5
 #: Words of test items handled in one pass over the documents, and of documents in one suffix array.
 BLOCK_WORDS, SHARD_WORDS = 1_000_000, 500_000
+#: Items of a block are broadcast up to this many rows of 12 bytes, else shuffled.
+BROADCAST_OWNERS = 500_000
 _BAND = LEAST // SHARE
 _NEVER = 10_000
 
@@ -57,14 +60,14 @@ class Tests:
 
 
 class SuffixArray:
-    """The places of a shard's codes from which ``SEED`` known words follow, in the order of the words after them."""
+    """The places of a shard's codes from which ``SEED`` known words follow, in the order of these words, then of the places."""
 
-    def __init__(self, codes: np.ndarray, depth: int = 16):
+    def __init__(self, codes: np.ndarray):
         at = np.flatnonzero(codes[: len(codes) - SEED + 1])
         at = at[np.all([codes[at + i] > 0 for i in range(1, SEED)], axis=0)] if len(at) else at
-        levels = [_keys(codes, at + i) for i in range(0, depth, SEED)]
-        order = np.lexsort(levels[::-1]) if len(at) else at
-        self.codes, self.at, self.keys = codes, at[order], levels[0][order]
+        keys = _keys(codes, at)
+        order = np.argsort(keys, kind="stable")
+        self.codes, self.at, self.keys = codes, at[order], keys[order]
 
     def matches(self, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All verbatim matches that can't be extended to the left: place here, place in the tests, length."""
@@ -188,6 +191,12 @@ def _searcher(tests: Tests):
     return search
 
 
+def _owners(spark: SparkSession, owners: list[tuple[int, int]]) -> DataFrame:
+    """The items of each passage of a block: broadcast while they are few, as many items may share one passage."""
+    df = spark.createDataFrame(owners, "passage int, item_id long")
+    return F.broadcast(df) if len(owners) <= BROADCAST_OWNERS else df
+
+
 def verbatim_matches(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, longest, at_word, leaks): documents and test items that share ``SEED`` words in a row or more.
 
@@ -219,7 +228,7 @@ def verbatim_matches(documents: DataFrame, items: DataFrame, doc_id: str = "doc_
     found = None
     for passages, owners in blocks:
         hits = docs.mapInPandas(_searcher(Tests(passages)), "doc_id long, passage int, longest int, at_word int, leaks boolean")
-        named = hits.join(F.broadcast(spark.createDataFrame(owners, "passage int, item_id long")), "passage").drop("passage")
+        named = hits.join(_owners(spark, owners), "passage").drop("passage")
         found = named if found is None else found.unionByName(named)
     if found is None:
         return spark.createDataFrame([], "doc_id long, longest int, at_word int, leaks boolean, item_id long")
