@@ -279,26 +279,37 @@ def _keyed(keys):
     return run
 
 
+@lru_cache(maxsize=100_000)
+def _letters(part: str) -> int:
+    """The set of the letters of a part, as bits; letters that share a bit can only make two parts look more alike."""
+    bits = 0
+    for c in part:
+        bits |= 1 << (ord(c) & 31)
+    return bits
+
+
 def _rare(n: int, beside: int) -> bool:
     return (n - RARE) * TIMES <= beside
 
 
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by shard, those that answer first: they build the trie that those that ask walk."""
-    at, trie, held = None, Trie(), set()
+    at, trie, held = None, Trie(), {}
     for pdf in batches:
         out = []
         for h, shard, asks, key, part, n in zip(pdf["_h"], pdf["_shard"], pdf["asks"], pdf["key"], pdf["part"], zip(pdf["n"], pdf["names"])):
             if (h, shard) != at:
-                at, trie, held = (h, shard), Trie(), set()
+                at, trie, held = (h, shard), Trie(), {}
             if not asks:
                 trie.add(part, (key, part, n))
-                held.add(part)
-                continue
-            if not held or (len(held) == 1 and part in held):
+                held[part] = _letters(part)
                 continue
             kind, of = key.split(".", 2)[:2]
-            for other_key, other, m in trie.within_swaps(part, 1 if of in "ab" else 2):
+            most, mine, size = 1 if of in "ab" else 2, _letters(part), len(part)
+            # each edit changes the letters that a part has by two at most: a small trie without such parts isn't walked
+            if len(held) <= 64 and not any((mine ^ x).bit_count() <= 2 * most and -most <= len(o) - size <= most and o != part for o, x in held.items()):
+                continue
+            for other_key, other, m in trie.within_swaps(part, most):
                 # the spelling of the more frequent one is taken, or of the smaller of two as frequent; a known name isn't a
                 # misspelling of another
                 if other_key != key or other == part or (m[0], part) <= (n[0], other) or (part in KNOWN and other in KNOWN):
