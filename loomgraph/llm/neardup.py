@@ -10,7 +10,11 @@ A node's pattern has the bits that all below it share; bits already in the paren
 query descends and adds up the differences in each node's own bits; where they exceed ``RADIUS`` the whole group
 below is pruned. What arrives at a leaf is within the radius and is compared exactly.
 
-Bands alone decide where rows meet, so no task sees all fingerprints; a key that holds too many is split by load.
+Where a group's index would prune little, as among many texts that share no more than a set phrase, comparing all with
+all is cheaper than descending, and is done instead; the pairs are the same.
+
+Bands alone decide where rows meet, so no task sees all fingerprints; a key that holds too many is split by load. A
+Python worker holds at most ``HELD`` comparisons at once, however many rows share a key and however long texts are.
 """
 
 from __future__ import annotations
@@ -31,6 +35,12 @@ BANDS, DEPTH = 20, 3
 #: At similarity 0.7, 19.2 of the bits differ, with a standard deviation of 4; of unrelated texts, 64.
 BITS, RADIUS = 128, 36
 FAN = 8
+#: Comparisons of two fingerprints, or of one with a node, that are worked out at once: about 30 MB.
+HELD = 250_000
+#: A group of more than ``WIDE`` fingerprints is compared whole if its index leaves more than this share of the leaves to ``TRIED`` of its queries.
+WIDE, LEFT, TRIED = 64, 0.05, 16
+#: Rows that are joined together, pairs that are sent on together, and sequences that are hashed together.
+ROWS, PAIRS, SEQUENCES = 100_000, 100_000, 8_000
 #: Ids of candidates are broadcast up to this many (of about 60 bytes), to leave all other texts where they are.
 BROADCAST_IDS = 200_000
 #: By default, all pairs of a class of copies are given if it has at most so many ids, else those of its first id with the others.
@@ -75,7 +85,7 @@ def _lowest(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def signatures(sets: list[np.ndarray], bands: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Band keys and packed fingerprints of sets of hashes. A large set is worked through in pieces."""
     a, b = _hashes(bands * depth + BITS)
-    piece = 8_000
+    piece = SEQUENCES
     low = np.concatenate([
         np.min([_lowest([s[i : i + piece]], a, b)[0] for i in range(0, len(s), piece)], axis=0)[None] if len(s) > piece else _lowest([s], a, b) for s in sets
     ]) if max(map(len, sets)) > piece else _lowest(sets, a, b)
@@ -90,11 +100,15 @@ def signatures(sets: list[np.ndarray], bands: int, depth: int) -> tuple[np.ndarr
 def _signer(words: int, bands: int, depth: int):
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys, prints = [], []
-            for i in range(0, len(pdf), 100):
-                k, f = signatures([shingle_hashes(t, words) for t in pdf["text"].iloc[i : i + 100]], bands, depth)
-                keys += k.tolist()
-                prints += [x.tobytes() for x in f]
+            keys, prints, sets, held = [], [], [], 0
+            for i, t in enumerate(pdf["text"], 1):
+                sets.append(shingle_hashes(t, words))
+                held += len(sets[-1])
+                if held >= SEQUENCES or i == len(pdf):
+                    k, f = signatures(sets, bands, depth)
+                    keys += k.tolist()
+                    prints += [x.tobytes() for x in f]
+                    sets, held = [], 0
             yield pdf[["id", "class"]].assign(keys=keys, print=prints)
 
     return sign
@@ -115,13 +129,27 @@ def gray_rank(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return prefix(hi), prefix(lo) ^ np.where(_parity(hi) == 1, np.uint64(2**64 - 1), np.uint64(0))
 
 
-def hamming_join(group: np.ndarray, prints: np.ndarray, asks: np.ndarray, answers: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions (asking, answering) of one group whose fingerprints (n x 2 words) differ in at most ``radius`` bits."""
+def _compared(prints: np.ndarray, asking: np.ndarray, answering: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All of ``asking`` compared with all of ``answering``, block by block."""
+    across = 2_000
+    for j in range(0, len(answering), across):
+        a = answering[j : j + across]
+        hi, lo = prints[a, 0], prints[a, 1]
+        for i in range(0, len(asking), HELD // across):
+            q = asking[i : i + HELD // across]
+            far = np.bitwise_count(prints[q, 0][:, None] ^ hi) + np.bitwise_count(prints[q, 1][:, None] ^ lo)
+            at = np.flatnonzero(far <= radius)
+            x, y = q[at // len(a)], a[at % len(a)]
+            yield x[x != y], y[x != y]
+
+
+def hamming_pairs(group: np.ndarray, prints: np.ndarray, asks: np.ndarray, answers: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``hamming_join``, some pairs at a time: a descent takes up as many nodes as can be held, and comes back for the rest."""
     hi, lo = gray_rank(prints[:, 0], prints[:, 1])
     order = np.lexsort((lo, hi, group))
     order = order[answers[order]]
     if not len(order):
-        return order, order
+        return
     g, leaf = group[order], prints[order]
     heads = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
     # levels, from the leaves up: the bits shared below each node, which of them are set, and its first child
@@ -129,6 +157,7 @@ def hamming_join(group: np.ndarray, prints: np.ndarray, asks: np.ndarray, answer
     firsts: list[np.ndarray] = []
     bounds = heads
     size = np.diff(np.append(heads, len(g)))
+    lowest = None
     while True:
         nodes = -(-size // FAN)
         within = np.arange(nodes.sum()) - np.repeat(np.cumsum(nodes) - nodes, nodes)
@@ -137,59 +166,110 @@ def hamming_join(group: np.ndarray, prints: np.ndarray, asks: np.ndarray, answer
         ones.append(np.bitwise_and.reduceat(ones[-1], first, axis=0))
         zeros.append(np.bitwise_and.reduceat(zeros[-1], first, axis=0))
         bounds, size = np.cumsum(nodes) - nodes, nodes
+        lowest = lowest or (bounds, nodes)
         if size.max() == 1:
             break
     known = [a | b for a, b in zip(ones, zeros)]
     roots = g[heads]
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     asking = np.flatnonzero(asks)
     root = np.searchsorted(roots, group[asking])
     there = (root < len(roots)) & (roots[np.minimum(root, len(roots) - 1)] == group[asking])
     asking, root = asking[there], root[there]
-    for i in range(0, len(asking), 50_000):
-        q, node = asking[i : i + 50_000], root[i : i + 50_000]
+    sizes = np.diff(np.append(heads, len(g)))
+    if (wide := np.flatnonzero(sizes > WIDE)).size and len(asking):
+        by_root = np.argsort(root, kind="stable")
+        starts, ends = (np.searchsorted(root[by_root], wide, side) for side in ("left", "right"))
+        whole = np.zeros(len(roots), bool)
+        for w, s, e in zip(wide.tolist(), starts.tolist(), ends.tolist()):
+            if s == e:
+                continue
+            q = asking[by_root[s:e]]
+            low = slice(lowest[0][w], lowest[0][w] + lowest[1][w])
+            # what a descent adds up on its way to the lowest nodes are the differences in all bits that they know
+            left = [(np.bitwise_count((prints[x] ^ ones[1][low]) & known[1][low]).sum(axis=1) <= radius).mean() for x in q[:: -(-len(q) // TRIED)]]
+            if np.mean(left) > LEFT:
+                whole[w] = True
+                yield from _compared(prints, q, order[heads[w] : heads[w] + sizes[w]], radius)
+        asking, root = asking[~whole[root]], root[~whole[root]]
+    step = HELD // FAN
+    for i in range(0, len(asking), step):
+        q, node = asking[i : i + step], root[i : i + step]
         far = np.bitwise_count((prints[q] ^ ones[-1][node]) & known[-1][node]).sum(axis=1).astype(np.int16)
-        for level in range(len(ones) - 2, -1, -1):
-            near = far <= radius
-            q, node, far = q[near], node[near], far[near]
+        near = far <= radius
+        todo = [(len(ones) - 2, q[near], node[near], far[near])]
+        while todo:
+            level, q, node, far = todo.pop()
             a, z = firsts[level][node], firsts[level][node + 1]
             n = z - a
             up = np.repeat(np.arange(len(q)), n)
             child = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + a[up]
             own = known[level][child] & ~known[level + 1][node[up]]
             far = far[up] + np.bitwise_count((prints[q[up]] ^ ones[level][child]) & own).sum(axis=1).astype(np.int16)
-            q, node = q[up], child
-        near = (far <= radius) & (q != order[node])
-        found.append((q[near], order[node[near]]))
-    return np.concatenate([x[0] for x in found] or [order[:0]]), np.concatenate([x[1] for x in found] or [order[:0]])
+            near = far <= radius
+            q, node, far = q[up[near]], child[near], far[near]
+            if level:
+                todo += [(level - 1, q[k : k + step], node[k : k + step], far[k : k + step]) for k in range(0, len(q), step)]
+            else:
+                other = order[node]
+                yield q[q != other], other[q != other]
+
+
+def hamming_join(group: np.ndarray, prints: np.ndarray, asks: np.ndarray, answers: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions (asking, answering) of one group whose fingerprints (n x 2 words) differ in at most ``radius`` bits."""
+    found = [(np.zeros(0, np.intp), np.zeros(0, np.intp)), *hamming_pairs(group, prints, asks, answers, radius)]
+    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
 def _joiner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Joins the groups of a partition sorted by group; a group isn't divided, many small ones are joined together."""
+    """Joins the groups of a partition sorted by group, asking rows first; many small groups are joined together.
+
+    Rows of a group that ask and answer are held until all of them have come. Of a group in which rows do one of both,
+    those that ask are held, and those that answer are dropped once they were compared.
+    """
     held: list[pd.DataFrame] = []
+    rows, enough = 0, ROWS
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if pdf.empty:
+            return
         group = np.cumsum(((pdf["_h"].diff() != 0) | (pdf["_shard"].diff() != 0)).to_numpy())
         prints = np.frombuffer(b"".join(pdf["print"]), ">u8").astype(np.uint64).reshape(-1, 2)
-        q, a = hamming_join(group, prints, pdf["asks"].to_numpy(bool), pdf["answers"].to_numpy(bool), RADIUS)
         c = pdf["c"].to_numpy()
-        x, y = c[q], c[a]
-        swap = x > y
-        x, y = np.where(swap, y, x), np.where(swap, x, y)
-        return pd.DataFrame({"a": x, "b": y})[x != y].drop_duplicates()
+        some: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+
+        def sent() -> pd.DataFrame:
+            x, y = c[np.concatenate([q for q, _ in some])], c[np.concatenate([a for _, a in some])]
+            out = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+            return out[x != y].drop_duplicates()
+
+        for q, a in hamming_pairs(group, prints, pdf["asks"].to_numpy(bool), pdf["answers"].to_numpy(bool), RADIUS):
+            some.append((q, a))
+            n += len(q)
+            if n >= PAIRS:
+                yield sent()
+                some, n = [], 0
+        if n:
+            yield sent()
 
     for pdf in batches:
         held.append(pdf)
-        if sum(map(len, held)) < 100_000:
+        rows += len(pdf)
+        if rows < enough:
             continue
         pdf = pd.concat(held, ignore_index=True)
         last = pdf.iloc[-1]
         open_ = (pdf["_h"] == last["_h"]) & (pdf["_shard"] == last["_shard"])
-        held = [pdf[open_]]
-        if not open_.all():
-            yield run(pdf[~open_].reset_index(drop=True))
+        rest = pdf[open_]
+        if last["asks"]:
+            yield from run(pdf[~open_].reset_index(drop=True))
+        else:
+            yield from run(pdf)
+            rest = rest[rest["asks"]]
+        held, rows = [rest], len(rest)
+        enough = rows + ROWS
     if held:
-        yield run(pd.concat(held, ignore_index=True))
+        yield from run(pd.concat(held, ignore_index=True))
 
 
 def _similar(words: int, least: float):
@@ -233,6 +313,7 @@ class NearDuplicates:
         # classes travel under a hash of eight bytes; should two share one, both are compared, as texts are what decides
         rows = classes.select(F.xxhash64("class").alias("c"), "print", F.posexplode("keys").alias("band", "key"))
         shards = self_join_shards(rows.select("c", "print", F.xxhash64("band", "key").alias("key")), ["key"], ["c"])
+        shards = shards.sortWithinPartitions("_h", "_shard", F.desc("asks"))
         met = shards.select("_h", "_shard", "asks", "answers", "c", "print").mapInPandas(_joiner, "a long, b long").distinct()
         names = classes.select(F.xxhash64("class").alias("class"), "name")
         met = met.join(names.select(F.col("class").alias("a"), F.col("name").alias("na")), "a").join(names.select(F.col("class").alias("b"), F.col("name").alias("nb")), "b")

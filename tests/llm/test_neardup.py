@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from loomgraph.llm import neardup
@@ -82,3 +84,56 @@ def test_gray_rank_is_the_inverse_of_the_gray_code():
     ranks = np.arange(300, dtype=np.uint64) + (np.uint64(1) << np.uint64(63))
     hi, lo = neardup.gray_rank(np.full(300, 3, np.uint64) ^ (np.full(300, 3, np.uint64) >> np.uint64(1)), ranks ^ (ranks >> np.uint64(1)) ^ (np.uint64(1) << np.uint64(63)))
     assert (hi == 3).all() and (lo == ranks).all()
+
+
+def peak_mb(f):
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def apart(prints, radius):
+    """Pairs of positions within the radius, by brute force, row by row."""
+    return {(i, int(j)) for i, p in enumerate(prints) for j in np.flatnonzero(np.bitwise_count(prints ^ p).sum(axis=1) <= radius) if i != j}
+
+
+@pytest.mark.parametrize("near", [0, 40])
+def test_memory_of_a_join_does_not_grow_with_the_square_of_a_group(near):
+    """4,000 texts that share a key: unrelated but for each second one (no node prunes), or in clusters of 40 (nodes do)."""
+    r = np.random.default_rng(1)
+    base = r.integers(0, 2**64, (4_000 // (near or 2), 2), dtype=np.uint64)
+    prints = np.repeat(base, near or 2, axis=0) ^ (np.uint64(1) << r.integers(0, 64, (4_000, 2), dtype=np.uint64))
+    all_ = np.ones(4_000, bool)
+    (q, a), mb = peak_mb(lambda: neardup.hamming_join(np.zeros(4_000, int), prints, all_, all_, 36))
+    assert set(zip(q.tolist(), a.tolist())) == apart(prints, 36) and len(q) >= 4_000
+    assert mb < 120
+
+
+def test_memory_of_signing_does_not_grow_with_the_length_of_texts():
+    texts = pd.DataFrame({"id": [f"{i}" for i in range(40)], "class": [b"c"] * 40, "text": [" ".join(f"w{i}x{j}" for j in range(4_000)) for i in range(40)]})
+    out, mb = peak_mb(lambda: pd.concat(neardup._signer(3, 20, 3)([texts])))
+    keys, prints = neardup.signatures([neardup.shingle_hashes(texts["text"][7], 3)], 20, 3)
+    assert out["keys"].iloc[7] == keys[0].tolist() and out["print"].iloc[7] == prints[0].tobytes() and len(out) == 40
+    assert mb < 120
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_rows_of_a_key_that_come_in_many_batches_meet_once(split, monkeypatch):
+    monkeypatch.setattr(neardup, "ROWS", 300)
+    monkeypatch.setattr(neardup, "PAIRS", 50)
+    held = []
+    pairs = neardup.hamming_pairs
+    monkeypatch.setattr(neardup, "hamming_pairs", lambda group, *x: held.append(len(group)) or pairs(group, *x))
+    r = np.random.default_rng(2)
+    base = r.integers(0, 2**64, (1_000, 2), dtype=np.uint64)
+    prints = np.concatenate([base, base ^ np.uint64(5)])
+    rows = pd.DataFrame({"_h": 7, "_shard": 0, "asks": True, "answers": True, "c": np.arange(2_000), "print": [x.astype(">u8").tobytes() for x in prints]})
+    small = rows.iloc[[0, 1_000]].assign(_h=9)
+    if split:  # 200 ask, all answer
+        rows = pd.concat([rows.iloc[:200].assign(answers=False), rows.assign(asks=False)])
+    rows = pd.concat([rows, small], ignore_index=True)
+    got = [tuple(x) for out in neardup._joiner(iter([rows.iloc[i : i + 100] for i in range(0, len(rows), 100)])) for x in out.to_numpy().tolist()]
+    assert set(got) == {(i, i + 1_000) for i in range(200 if split else 1_000)}
+    assert not split or max(held) < 700
