@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.skew import self_join_shards
-from loomgraph.runtime import broadcast_if_small, cut
+from loomgraph.runtime import broadcast_if_small, cut, release
 
 #: At similarity 0.7 a pair shares no band with probability (1 - 0.343) ** 20 = 0.0002, at 0.8 with less than a millionth.
 BANDS, DEPTH = 20, 3
@@ -306,13 +306,18 @@ class NearDuplicates:
         self.texts = texts
         signed = texts.withColumn("class", F.unhex(F.md5("text"))).mapInPandas(_signer(words, BANDS, DEPTH), "id string, class binary, keys array<long>, print binary")
         signed = cut(signed.groupBy("id").agg(F.min("class").alias("class"), F.min_by("keys", "class").alias("keys"), F.min_by("print", "class").alias("print")))
-        first = signed.groupBy("class").agg(F.min("id").alias("name"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("print").alias("print"))
-        classes = cut(first)
+        # what a step shuffled isn't needed once its result is written: all of it at once would exceed the disk
+        spark = df.sparkSession
+        release(spark)
+        classes = signed.groupBy("class").agg(F.min("id").alias("name"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("print").alias("print"))
+        classes = cut(classes)
+        release(spark)
         many = classes.filter("n > 1").select("class", "name", "n")
         self.members = signed.select("id", "class").join(broadcast_if_small(many, 50_000), "class").select(F.col("name").alias("class"), "id", "n")
         # classes travel under a hash of eight bytes; should two share one, both are compared, as texts are what decides
         rows = classes.select(F.xxhash64("class").alias("c"), "print", F.posexplode("keys").alias("band", "key"))
         shards = self_join_shards(rows.select("c", "print", F.xxhash64("band", "key").alias("key")), ["key"], ["c"])
+        release(spark)
         shards = shards.sortWithinPartitions("_h", "_shard", F.desc("asks"))
         met = shards.select("_h", "_shard", "asks", "answers", "c", "print").mapInPandas(_joiner, "a long, b long").distinct()
         names = classes.select(F.xxhash64("class").alias("class"), "name")
@@ -320,6 +325,7 @@ class NearDuplicates:
         near = cut(met.select(F.col("na").alias("a"), F.col("nb").alias("b")))
         # of all texts, only those of candidates travel
         wanted = broadcast_if_small(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), BROADCAST_IDS)
+        release(spark)
         text = texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min_by("text", F.md5("text")).alias("text"))
         with_text = near.join(text.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         self.pairs = with_text.select("a", "b", "text_a", "text_b").mapInPandas(_similar(words, least), "a string, b string, similarity double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that nothing refers to, as of what led to a ``cut``.
+
+    It does so when the driver's garbage is collected, which may not happen before a query ends.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def parallelism(spark: SparkSession) -> int:
     """Number of reduce tasks to plan for: the session's shuffle partitions, one at least."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

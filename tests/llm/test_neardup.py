@@ -1,4 +1,5 @@
 import random
+import time
 import tracemalloc
 
 import numpy as np
@@ -137,3 +138,18 @@ def test_rows_of_a_key_that_come_in_many_batches_meet_once(split, monkeypatch):
     got = [tuple(x) for out in neardup._joiner(iter([rows.iloc[i : i + 100] for i in range(0, len(rows), 100)])) for x in out.to_numpy().tolist()]
     assert set(got) == {(i, i + 1_000) for i in range(200 if split else 1_000)}
     assert not split or max(held) < 700
+
+
+def test_shuffled_files_go_while_the_query_runs(spark):
+    """What was shuffled up to the counts of the keys is deleted before the pairs' texts are compared."""
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    texts = [(f"{i}", " ".join(f"w{i // 2}x{j}" for j in range(30 + i % 2))) for i in range(200)]
+    df = spark.createDataFrame(texts, "id string, content string")
+    first = spark.sparkContext._jsc.sc().newShuffleId()
+    near = neardup.NearDuplicates(df, "id", "content", words=3, least=0.7)
+    for _ in range(50):  # the cleaner works beside
+        left = [i for i in range(first, first + 6) if tracker.containsShuffle(i)]
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and near.pairs.count() == 100
